@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import chat, url_filter, warc
+from motifloom.llm import chat, simhash, url_filter, warc
 from motifloom.llm.common import own_dir, table
 
 RULES = [url_filter.Rule("block", "com/en/"), url_filter.Rule("allow", "example.com/en/7"), url_filter.Rule("block", "net/de/"), url_filter.Rule("block", "example.net/de/8"), url_filter.Rule("block", "org/es/")]
@@ -25,8 +25,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op8_chat_formatting, op9_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op8_chat_formatting, op9_warc, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
