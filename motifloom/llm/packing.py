@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from motifloom.llm.common import partitions, pinned
 
 CAPACITY = 2048
-GROUPS = 256
+GROUPS = 512
 #: The linear program's solution may exceed its optimum by this part.
 GAP = 2e-4
+#: Columns that are generated at most, for each size.
+ROUNDS = 1
 #: Documents of up to this part of a sequence are small.
 SMALL_PART = 8
 END = 0
@@ -96,7 +98,7 @@ def best_config(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[flo
     for _ in range(capacity // int(size.min())):  # one more document each time
         more, pick = best.copy(), np.full(capacity + 1, -1, np.int32)
         for i, (v, z) in enumerate(zip(value.tolist(), size.tolist(), strict=True)):
-            if v > 0:
+            if v > 0 and z <= capacity:
                 got = best[: capacity + 1 - z] + v
                 better = got > more[z:] + 1e-12
                 more[z:][better] = got[better]
@@ -116,23 +118,39 @@ def best_config(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[flo
 def configurations(size: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations and how often to use each, so that every size has at least need places and few sequences are used."""
     m = len(size)
-    basis = np.diag((capacity // size).astype(float))
-    inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ need
-    for step in range(40 * m + 100):
-        value, a = best_config(np.ones(m) @ inverse, size, capacity)
-        if value <= 1 + GAP:
-            break
-        d = inverse @ a
-        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-        out = int(ratio.argmin())
+    basis, inverse, x = np.eye(m), np.eye(m), need.copy()  # each document alone
+
+    def enter(a: np.ndarray, out: int | None = None) -> int:
+        """Puts column a into the basis, for the column that it uses up first or for out."""
+        nonlocal x
+        d = (inverse * a).sum(1)
+        if out is None:
+            out = int(np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf).argmin())
         basis[:, out] = a
         row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
+        inverse[:] -= np.outer(d, row)
         inverse[out] = row
-        if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
-        x = inverse @ need
+        x = (inverse * need).sum(1)
+        return out
+
+    # to begin with: the largest size that is left, best filled, until the first of these sizes is used up
+    rest, left = need.copy(), np.ones(m, bool)
+    for _ in range(m):
+        some = np.flatnonzero(left)
+        a, room = np.zeros(m), capacity - int(size[some[0]])
+        if room >= size[some].min():
+            a[some] = best_config(size[some].astype(float), size[some], room)[1]
+        a[some[0]] += 1
+        ratio = np.where(a > 0, rest / np.where(a > 0, a, 1), np.inf)
+        out = int(ratio.argmin())
+        rest -= ratio[out] * a
+        left[out] = False
+        enter(a, out)
+    for _ in range(ROUNDS * m):
+        value, a = best_config(inverse.sum(0), size, capacity)
+        if value <= 1 + GAP:
+            break
+        enter(a)
     use = np.floor(x + 1e-6).astype(np.int64).clip(0)
     chosen = [(basis[:, i].astype(np.int64), int(use[i])) for i in range(m) if use[i]]
     left = need.astype(np.int64) - sum((a * n for a, n in chosen), np.zeros(m, np.int64))
