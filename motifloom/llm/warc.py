@@ -23,8 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifloom.llm.common import partitions
+
 #: A file rolls over when it has so many compressed bytes.
 ROLL_BYTES = 64 << 20
+CHUNK = 16 << 10
 MANIFEST = "file string, n_records long, n_bytes long, sha256 string, first_id long, last_id long"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
@@ -90,27 +93,37 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, roll_b
     at, inner = files(folder)
     at.create_dir(inner, recursive=True)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = rows.withColumns({"sha": F.sha1("html"), "n_bytes": F.octet_length("html")})
-    first = keyed.where(F.col("n_bytes") >= min_revisit_bytes).groupBy("sha", "n_bytes").agg(F.min("page_id").alias("first_id"))
-    judged = keyed.join(first, ["sha", "n_bytes"], "left").drop("sha", "n_bytes")
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = judged.repartitionByRange(n, "page_id", "html", "url").sortWithinPartitions("page_id", "html", "url")
+    keys = rows.select("page_id", F.sha1("html").alias("sha"), F.octet_length("html").alias("n_bytes")).where(F.col("n_bytes") >= min_revisit_bytes)
+    first = keys.groupBy("sha", "n_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null").drop("n")
+    copies = keys.join(first, ["sha", "n_bytes"]).distinct()
+    # a copy's verdict travels as a row of its own, sorted before the page, so that payloads are shuffled once
+    none = F.lit(None)
+    verdicts = copies.select("page_id", F.lit(0).alias("kind"), "sha", "first_id", none.cast("string").alias("url"), none.cast("string").alias("html"))
+    records = rows.select("page_id", F.lit(1).alias("kind"), none.cast("string").alias("sha"), none.cast("long").alias("first_id"), "url", "html")
+    n = shards or partitions(spark)
+    ordered = verdicts.unionByName(records).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "html", "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roll, before = Roll(folder, f"part-{TaskContext.get().partitionId():06d}", roll_bytes), None
+        roll, before, of, firsts = Roll(folder, f"part-{TaskContext.get().partitionId():06d}", roll_bytes), None, object(), {}
         for b in batches:
             done = []
-            for page_id, url, html, first_id in zip(b["page_id"].array, b["url"].array, b["html"].array, b["first_id"].array, strict=True):
-                payload = html.encode("utf-8", "surrogatepass")
+            for page_id, kind, sha, first_id, url, html in b[["page_id", "kind", "sha", "first_id", "url", "html"]].itertuples(index=False, name=None):
                 page_id = None if pd.isna(page_id) else int(page_id)
+                if page_id != of:
+                    of, firsts = page_id, {}
+                if kind == 0:
+                    firsts[sha] = int(first_id)
+                    continue
+                payload = html.encode("utf-8", "surrogatepass")
+                first_id = firsts.get(hashlib.sha1(payload).hexdigest()) if firsts else None
                 here = (page_id, payload)
-                revisit = not pd.isna(first_id) and (page_id != int(first_id) or here == before)
+                revisit = first_id is not None and (page_id != first_id or here == before)
                 before = here
                 headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(f"page:{page_id}")), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
                 if not pd.isna(url):
                     headers.append(("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url)))
                 if revisit:
-                    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(f"page:{int(first_id)}")), ("X-Refers-To-Page-ID", str(int(first_id)))]
+                    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(f"page:{first_id}")), ("X-Refers-To-Page-ID", str(first_id))]
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 headers.append(("Content-Type", "application/http; msgtype=response"))
                 block = http if revisit else http + payload
@@ -122,18 +135,23 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, roll_b
             yield pd.DataFrame([got])
 
     manifest = f"{folder}/manifest"
-    ordered.mapInPandas(write, MANIFEST).write.mode("overwrite").parquet(manifest)
+    ordered.mapInPandas(write, MANIFEST).repartition(1 + n // 1000).write.mode("overwrite").parquet(manifest)
     return spark.read.parquet(manifest)
 
 
 def parse_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each gzip member; an error names what doesn't hold."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("a WARC file ends within a record")
-        data = z.unused_data
+    at = 0
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("a WARC file ends within a record")
+            chunk = data[at : at + CHUNK]
+            parts.append(z.decompress(chunk))
+            at += len(chunk)
+        at -= len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -173,6 +191,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
                 if out:
                     yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    listed = spark.read.parquet(f"{folder}/manifest").select("file", "sha256")
-    n = max(1, min(listed.count(), 100_000))
-    return listed.repartition(n, "file").mapInPandas(read, RECORD)
+    listed = spark.read.parquet(f"{folder}/manifest").select("file", "sha256", "n_bytes")
+    there = listed.agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b")).first()
+    n = max(1, min(there["n"], max(3 * spark.sparkContext.defaultParallelism, (there["b"] or 0) // ROLL_BYTES)))
+    return listed.drop("n_bytes").repartition(n).mapInPandas(read, RECORD)
