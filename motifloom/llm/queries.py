@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import chat, packing, simhash, substrings, url_filter, warc
+from motifloom.llm import chat, merkle, packing, simhash, substrings, url_filter, warc
 from motifloom.llm.common import own_dir, table
 
 RULES = [url_filter.Rule("block", "com/en/"), url_filter.Rule("allow", "example.com/en/7"), url_filter.Rule("block", "net/de/"), url_filter.Rule("block", "example.net/de/8"), url_filter.Rule("block", "org/es/")]
@@ -34,13 +34,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op5_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs, k=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op4_best_fit_packing, op6_substring_dedup, op8_chat_formatting, op9_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op4_best_fit_packing, op5_merkle_fingerprint, op6_substring_dedup, op8_chat_formatting, op9_warc, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
