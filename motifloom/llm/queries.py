@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import chat, merkle, packing, simhash, substrings, url_filter, warc
+from motifloom.llm import chat, merkle, packing, simhash, substrings, toxicity, url_filter, warc
 from motifloom.llm.common import own_dir, table
 
 RULES = [url_filter.Rule("block", "com/en/"), url_filter.Rule("allow", "example.com/en/7"), url_filter.Rule("block", "net/de/"), url_filter.Rule("block", "example.net/de/8"), url_filter.Rule("block", "org/es/")]
@@ -15,6 +15,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    learn = docs.where(toxicity.fold(F.col("doc_id"), 3) != 1)
+    return toxicity.fit(learn, table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scores(docs, toxicity_model(spark, sf_dir, docs))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -45,7 +57,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op4_best_fit_packing, op5_merkle_fingerprint, op6_substring_dedup, op8_chat_formatting, op9_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op4_best_fit_packing, op5_merkle_fingerprint, op6_substring_dedup, op7_toxicity, op8_chat_formatting, op9_warc, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
