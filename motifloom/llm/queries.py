@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import chat, merkle, packing, simhash, substrings, toxicity, url_filter, warc
-from motifloom.llm.common import own_dir, table
+from motifloom.llm import chat, decontaminate, language, merkle, packing, simhash, substrings, toxicity, url_filter, warc
+from motifloom.llm.common import fold, own_dir, table
 
 RULES = [url_filter.Rule("block", "com/en/"), url_filter.Rule("allow", "example.com/en/7"), url_filter.Rule("block", "net/de/"), url_filter.Rule("block", "example.net/de/8"), url_filter.Rule("block", "org/es/")]
 
@@ -16,14 +16,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
-    learn = docs.where(toxicity.fold(F.col("doc_id"), 3) != 1)
+    learn = docs.where(fold(F.col("doc_id"), 3) != 1)
     return toxicity.fit(learn, table(spark, sf_dir, "labels"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.scores(docs, toxicity_model(spark, sf_dir, docs))
-    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -42,6 +42,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language.fit(docs.where(~out).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), F.col("nearest").alias("lang_pred"), F.col("lang_score").alias("score"), "rejected")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), contained=0.8, k=5)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -57,7 +69,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op4_best_fit_packing, op5_merkle_fingerprint, op6_substring_dedup, op7_toxicity, op8_chat_formatting, op9_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_best_fit_packing, op5_merkle_fingerprint, op6_substring_dedup, op7_toxicity, op8_chat_formatting, op9_warc, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
