@@ -48,16 +48,20 @@ def shingle_hashes(words: list[str], k: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(SEED)), np.uint64, n)
 
 
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of h."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int((2 * ones > len(h)).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
+
+
 def fingerprint(words: list[str], k: int) -> int:
     """A bit is 1 if it is set in over half the shingle hashes; 0 without words."""
     h = shingle_hashes(words, k)
     if not len(h):
         return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        part = h[at : at + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int((2 * ones > len(h)).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -175,10 +179,155 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, block: int = B
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id (of equal ids: the first by text)."""
-    found = near_duplicates(docs, k, radius)
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+#: A document of the least similarity differs from another in a share of bits that follows from the angle between their shingles; so many
+#: deviations beyond it are still compared.
+DEVIATIONS = 3.2
+#: Candidates whose shingles are in one task at most, twice.
+VERIFIED = 1 << 12
+SKETCH = "doc_id long, n int, a long, b long, w1 long, w2 long"
+
+
+def _second(h: np.ndarray) -> np.ndarray:
+    """64 further bits for each hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def radii(similarity: float) -> tuple[int, int]:
+    """The most bits of 64 and of 128 in which sets of this Jaccard similarity differ, DEVIATIONS beyond the mean."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return tuple(int(np.ceil(n * share + DEVIATIONS * (n * share * (1 - share)) ** 0.5)) for n in (64, 128))
+
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """Of each row of docs (doc_id, text): its number of distinct k-word shingles, two fingerprints of them and 128 bits of its words."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = np.zeros((5, len(x)), np.uint64)
+            for row, text in enumerate(x["text"].array):
+                words = words_of(text)
+                h = np.unique(shingle_hashes(words, k))
+                whole = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+                out[:, row] = len(h), majority(h), majority(_second(h)), *np.frombuffer(whole, np.uint64)
+            n, a, b, w1, w2 = out.view(np.int64)
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n": n, "a": a, "b": b, "w1": w1, "w2": w2})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of, SKETCH)
+
+
+def near_pairs(n: np.ndarray, a: np.ndarray, b: np.ndarray, home: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions, one of them home, whose sizes and fingerprints allow the similarity."""
+    r64, r128 = radii(similarity)
+    order = np.lexsort((np.bitwise_count(a), n, ~home))
+    n, a, b, pop = n[order], a[order], b[order], np.bitwise_count(a[order]).astype(int)
+    n_home = int(home.sum())
+    bounds = [(i, min(i + TILE, n_home)) for i in range(0, n_home, TILE)]
+    tiles = [(i, j, n[i], n[j - 1], pop[i:j].min(), pop[i:j].max()) for i, j in [*bounds, *((i, min(i + TILE, len(n))) for i in range(n_home, len(n), TILE))]]
+    for x, (i0, i1, nlo, nhi, plo, phi) in enumerate(tiles[: len(bounds)]):
+        for j0, j1, mlo, mhi, qlo, qhi in tiles[x:]:
+            if nhi < similarity * mlo or mhi < similarity * nlo or plo - qhi > r64 or qlo - phi > r64:
+                continue
+            i, j = (np.bitwise_count(a[i0:i1, None] ^ a[None, j0:j1]) <= r64).nonzero()
+            i, j = i + i0, j + j0
+            good = i < j
+            i, j = i[good], j[good]
+            far = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j])
+            good = (far <= r128) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            if good.any():
+                yield order[i[good]], order[j[good]]
+
+
+def _cells(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """rows (n, id, ...) with the cell, home block, visitor block and home flag of each task that they go to; similar sizes share a task."""
+    cell = F.floor(F.log("n") / F.lit(-float(np.log(similarity))) + 1e-9).cast("int")
+    placed = rows.withColumn("cell", cell)
+    count = {r["cell"]: r["m"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).collect()}  # one row for each size class
+    around = lambda c: count.get(c + 1, 0) + (count[c] if count[c] > block else 0)
+    grid = [(c, -(-m // block), max(1, -(-around(c) // block))) for c, m in count.items()]
+    cells = F.broadcast(rows.sparkSession.createDataFrame(grid, "to int, n_home int, n_visit int"))
+    spread = F.xxhash64("id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = placed.join(cells, F.col("cell") == F.col("to"))
+    home = own.select(*rows.columns, "to", F.pmod(spread, F.col("n_home")).cast("int").alias("x"), each("n_visit").alias("y"), F.lit(True).alias("home"))
+    visits = placed.withColumn("at", F.explode(F.array(F.col("cell"), F.col("cell") - 1))).join(cells, F.col("at") == F.col("to")).where("n_home > 1 or at != cell")
+    visit = visits.select(*rows.columns, "to", each("n_home").alias("x"), F.pmod(spread, F.col("n_visit")).cast("int").alias("y"), F.lit(False).alias("home"))
+    return home.unionByName(visit)
+
+
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BLOCK, verified: int = VERIFIED) -> DataFrame:
+    """doc_id, component_id for every row of docs (doc_id, text); component_id is the smallest doc_id reachable over pairs of texts whose
+    sets of k-word shingles (A-Z lower-cased) have a Jaccard similarity of at least similarity.
+
+    Fingerprints of 128 bits find the candidates by tiled comparison; their shingles decide. A pair is left out only if more bits
+    differ than in all but one in a thousand pairs of the least similarity. Texts of equal words, also of none, are one class. Rows with a null doc_id have component null.
+    """
+    rows = pinned(sketches(docs, k))
+    same = ["w1", "w2"]
+    classes = rows.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
+    classes = pinned(classes)
+    if not classes.where("n > 0").take(1):
+        near = rows.sparkSession.createDataFrame([], "u long, v long")
+    else:
+        near = _verified(docs, classes.where("n > 0").select("n", "id", "a", "b"), k, similarity, block, verified)
+    roots = connected_components(near)
+    found = classes.join(roots, classes["id"] == roots["node"], "left").select(*(F.col(c).alias(f"_{c}") for c in same), F.coalesce("component", "id").alias("component_id"))
+    return rows.join(found, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")), "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, block: int, verified: int) -> DataFrame:
+    def arrays(x: pd.DataFrame) -> tuple:
+        return x["n"].to_numpy(np.int64), x["a"].to_numpy(np.int64).view(np.uint64), x["b"].to_numpy(np.int64).view(np.uint64), x["home"].to_numpy(bool)
+
+    def candidates(x: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(x), bool)
+        for i, j in near_pairs(*arrays(x), similarity):
+            hit[i] = hit[j] = True
+        return pd.DataFrame({"id": x["id"].to_numpy()[hit]})
+
+    some = pinned(_cells(classes, similarity, block).groupBy("to", "x", "y").applyInPandas(candidates, "id long").distinct())
+    few = some.count() <= 500_000  # 8 bytes each
+    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some) if few else some, "id", "left_semi")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"id": x["id"], "shingles": [np.unique(shingle_hashes(words_of(t), k)).tobytes() for t in x["text"].array]})
+
+    held = picked.mapInPandas(sets, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
+
+    def verify(x: pd.DataFrame) -> pd.DataFrame:
+        ids, shingles = x["id"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in x["shingles"]]
+        root, out = list(range(len(ids))), []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for left, right in near_pairs(*arrays(x), similarity):
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                p, q = find(i), find(j)
+                if p != q:
+                    both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                    if both >= similarity * (len(shingles[i]) + len(shingles[j]) - both) - 1e-9:
+                        root[max(p, q)] = min(p, q)
+                        out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    rows = classes.join(held, "id").select("n", "id", "a", "b", "shingles")
+    return _cells(rows, similarity, verified).groupBy("to", "x", "y").applyInPandas(verify, "u long, v long")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component of similar_documents: that of the smallest doc_id, of equal ids the first by text.
+    Rows with a null doc_id stay."""
+    found = pinned(similar_documents(docs, k, similarity))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= 500_000 else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").take(1):
+        return kept
+    order = Window.partitionBy("doc_id").orderBy("text")
+    first = kept.where("doc_id is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return first.unionByName(kept.where("doc_id is null"))
