@@ -18,10 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.llm.common import pinned
+
 #: The classifier is fitted on so many confirmed and so many unlabelled documents at most.
 SAMPLE_POSITIVE = 4_000
-SAMPLE_UNLABELLED = 16_000
-N_FEATURES = 2048
+SAMPLE_UNLABELLED = 12_000
+N_FEATURES = 1024
+#: A feature whose rates differ by fewer deviations is noise among hundreds of thousands of features.
+LEAST_Z = 3.0
 THRESHOLD = 0.7
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -42,11 +46,9 @@ class Model(NamedTuple):
     bias: float
 
 
-def _sampled(docs: DataFrame, most: int, seed: int) -> DataFrame:
-    """most rows of docs at most, by a hash of the text."""
-    n = docs.count()
-    share = min(1.0, most / max(n, 1))
-    return docs.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else docs
+def _sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """most ids at most, those of the least hashes."""
+    return ids.distinct().withColumn("h", F.xxhash64("doc_id", F.lit(seed))).orderBy("h", "doc_id").limit(most).select("doc_id")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -86,11 +88,9 @@ def _vector(index: dict[str, int], known: dict[str, tuple[int, ...]], text: str
     return list(got), [1.0 + float(np.log(n)) for n in got.values()]
 
 
-def nn_pu_fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear model with logistic loss, by Adam on the non-negative PU risk."""
-    p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
-    xp, xu = x[p], x[u]
-    w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
+def nn_pu_fit(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear model with logistic loss, by Adam on the non-negative PU risk of confirmed xp and unlabelled xu."""
+    w, b = np.zeros(xp.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
     for t in range(1, steps + 1):
@@ -98,9 +98,9 @@ def nn_pu_fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 40
         sp, su = sigmoid(gp), sigmoid(gu)
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         # the derivatives of l(g) = log(1 + exp(-g)) and of l(-g) by g
-        dp_neg, du_neg = prior * sp / len(p), su / len(u)
+        dp_neg, du_neg = prior * sp / len(xp), su / len(xu)
         if negative >= 0:
-            dp, du = prior * (sp - 1) / len(p) - dp_neg, du_neg
+            dp, du = prior * (sp - 1) / len(xp) - dp_neg, du_neg
         else:  # the risk of the negatives is overfitted: step back
             dp, du = dp_neg, -du_neg
         grad = np.append(xp.T @ dp + xu.T @ du + decay * w, dp.sum() + du.sum()).astype(np.float32)
@@ -120,16 +120,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
     own = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = marks.join(own.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg("toxic")).first()[0] or 0.0
-    confirmed = own.join(marks.where("toxic = 1"), "doc_id", "left_semi")
-    rows = _sampled(confirmed, sample_positive, 1).select("text", F.lit(True).alias("positive")).unionByName(_sampled(own, sample_unlabelled, 2).select("text", F.lit(False).alias("positive")))
+    ids = own.select("doc_id")
+    confirmed = _sampled(ids.join(marks.where("toxic = 1"), "doc_id", "left_semi"), sample_positive, 1)
+    unlabelled = _sampled(ids, sample_unlabelled, 2)
+    picked = confirmed.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
+    # the sample's size bounds what is broadcast; texts are not shuffled
+    rows = own.join(F.broadcast(pinned(picked)), "doc_id").select("text", "positive")
     n = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(True) or not n.get(False):
         return Model({}, np.zeros(0, np.float32), -30.0)
     # what tells confirmed from unlabelled best: the difference of the two rates against its deviation
     p, u = F.col("p") / n[True], F.col("u") / n[False]
     mean = (F.col("p") + F.col("u")) / (n[True] + n[False])
-    z = (p - u) / F.sqrt(mean * (1 - mean) + F.lit(1.0 / (n[True] + n[False])))
-    best = _counted(rows).where("p + u >= 3").withColumn("z", F.abs(z)).orderBy(F.desc("z"), "feature").limit(n_features).collect()
+    z = (p - u) / F.sqrt((mean * (1 - mean) + F.lit(1.0 / (n[True] + n[False]))) * (1.0 / n[True] + 1.0 / n[False]))
+    best = _counted(rows).where("p + u >= 3").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(n_features).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,11 +143,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
             yield pd.DataFrame({"positive": b["positive"], "i": [np.array(i, np.int32) for i, _ in got], "v": [np.array(v, np.float32) for _, v in got]})
 
     sample = rows.mapInPandas(vectorise, "positive boolean, i array<int>, v array<float>").toPandas()
-    x = np.zeros((len(sample), len(index)), np.float32)
-    for row, (i, v) in enumerate(zip(sample["i"], sample["v"], strict=True)):
-        x[row, np.asarray(i, np.int64)] = v
-    prior = float(np.clip(prior, 1e-3, 0.9))
-    w, b = nn_pu_fit(x, sample["positive"].to_numpy(bool), prior)
+
+    def dense(some: pd.DataFrame) -> np.ndarray:
+        x = np.zeros((len(some), len(index)), np.float32)
+        for row, (i, v) in enumerate(zip(some["i"], some["v"], strict=True)):
+            x[row, np.asarray(i, np.int64)] = v
+        return x
+
+    positive = sample["positive"].to_numpy(bool)
+    w, b = nn_pu_fit(dense(sample[positive]), dense(sample[~positive]), float(np.clip(prior, 1e-3, 0.9)))
     return Model(index, w, b)
 
 
