@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import chat, decontaminate, language, merkle, packing, simhash, substrings, toxicity, url_filter, warc
+from motifloom.llm import chat, decontaminate, language, merkle, packing, simhash, sql, substrings, toxicity, url_filter, warc
 from motifloom.llm.common import fold, own_dir, table
 
 RULES = [url_filter.Rule("block", "com/en/"), url_filter.Rule("allow", "example.com/en/7"), url_filter.Rule("block", "net/de/"), url_filter.Rule("block", "example.net/de/8"), url_filter.Rule("block", "org/es/")]
@@ -69,8 +69,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_best_fit_packing, op5_merkle_fingerprint, op6_substring_dedup, op7_toxicity, op8_chat_formatting, op9_warc, op10_simhash)}
+    every = (op1_url_filter, op2_language_id, op3_decontamination, op4_best_fit_packing, op5_merkle_fingerprint, op6_substring_dedup, op7_toxicity, op8_chat_formatting, op9_warc, op10_simhash)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no classifiers (op2, op7), tokenizer (op4) or XXH64 (op10); their tests hold them against brute force."""
+    return {"op1_url_filter": sql.op1(RULES), "op3_decontamination": sql.OP3, "op5_merkle_fingerprint": sql.OP5, "op6_substring_dedup": sql.OP6, "op8_chat_formatting": sql.OP8, "op9_warc": sql.OP9}
