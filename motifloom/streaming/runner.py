@@ -80,8 +80,9 @@ class GraphStream:
 
     def netted(self, updates: DataFrame, before: Graph) -> DataFrame:
         """(src, dst, alive): the edges that the updates really change."""
-        number = F.expr("try_cast(tpe as int)")
-        kind = F.coalesce(F.element_at(F.array(*map(F.lit, TYPES)), number + 1), F.col("tpe"))
+        kind = F.col("tpe")
+        for number, name in enumerate(TYPES):
+            kind = F.when(F.col("tpe") == str(number), name).otherwise(kind)
         u = updates.withColumn("kind", kind)
         direct = u.where(F.col("kind").isin("EdgeAdd", "EdgeDel") & (F.col("src") != F.col("dst")))
         direct = direct.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.coalesce("ts", F.lit(0)).alias("ts"), (F.col("kind") == "EdgeAdd").alias("alive"))
