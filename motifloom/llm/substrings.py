@@ -114,7 +114,7 @@ class Edges:
         self.cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
 
     def parts(self) -> Iterator[tuple[int, slice]]:
-        for i, j in zip(self.cuts, [*self.cuts[1:], len(self.bucket)], strict=True):
+        for i, j in zip(self.cuts, [*self.cuts[1:], len(self.bucket)][: len(self.cuts)], strict=True):
             yield int(self.bucket[i]), slice(int(i), int(j))
 
 
