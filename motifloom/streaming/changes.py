@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.functions import masks
 from motifloom.graph import Graph
 from motifloom.plans import expand
 
-SCHEMA = "vertices array<bigint>, status string, old_edges int, edges int, new_edges int"
-
-
-def touched_sets(after: Graph, before: Graph, changed: DataFrame, k: int) -> DataFrame:
-    """(vertices): sets of k vertices, connected in the union of both snapshots, that hold both ends of a changed edge. Seeded by changed (src, dst)."""
+def touched_sets(after: Graph, before: Graph, changed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(vertices): sets of k vertices, connected in the union of both snapshots, that hold both ends of a changed edge. Seeded by changed (src, dst).
+    accept(vertices, new) prunes what is grown from a seed."""
     both = Graph(after.edges.select("src", "dst").unionByName(before.edges.select("src", "dst")).distinct())
     sets, sym = changed.select(F.array("src", "dst").alias("vertices")).distinct(), both.symmetric()
     for _ in range(k - 2):
-        sets = expand.grow(sym, sets)
+        sets = expand.grow(sym, sets, accept)
     return sets
 
 
-def set_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int) -> DataFrame:
+def set_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """vertices, old, now (masks in the snapshots before and after) of every touched set whose mask changed."""
     changed = added.select("src", "dst").unionByName(removed.select("src", "dst"))
-    sets = touched_sets(after, before, changed, k)
+    sets = touched_sets(after, before, changed, k, accept)
     return expand.with_masks(sets, k, old=before.edges, now=after.edges).where("old != now")
 
 
@@ -60,6 +60,41 @@ def motif_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFr
     return rows.select("vertices", status.alias("status"), "old_id", "new_id")
 
 
+def pattern_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, match: Callable[[list[Column], Column], Column], accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """vertices, status (add, del or mod), edges, new_edges: connected sets of k vertices that match now, matched before, or match both times with other edges.
+
+    edges is the mask now (for del: before), new_edges what it has that wasn't there before.
+    """
+    rows = set_changes(after, before, added, removed, k, accept)
+    linked = masks.pattern_table(rows.sparkSession, k).where("connected").select("mask")
+    for name in ("old", "now"):
+        rows = rows.join(F.broadcast(linked.select(F.col("mask").alias(name), F.lit(True).alias(f"{name}_linked"))), name, "left")
+    vs = [F.col("vertices")[i] for i in range(k)]
+    held = lambda name: F.coalesce(F.col(f"{name}_linked") & match(vs, F.col(name)), F.lit(False))
+    rows = rows.withColumns({"was": held("old"), "is": held("now")}).where("was or is")
+    status = F.when(~F.col("was"), "add").when(~F.col("is"), "del").otherwise("mod")
+    fresh = F.when(F.col("is"), F.col("now").bitwiseAND(F.bitwise_not("old"))).otherwise(0)
+    return rows.select("vertices", status.alias("status"), F.when(F.col("is"), F.col("now")).otherwise(F.col("old")).alias("edges"), fresh.alias("new_edges"))
+
+
+def keyword_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, label: Callable[[Column], Column], keywords: int) -> DataFrame:
+    """pattern_changes of the sets of at most k vertices that hold each keyword once, other vertices being plain."""
+    plain = lambda v: label(v) >= keywords
+
+    def accept(vs: Column, c: Column) -> Column:
+        return F.when(plain(c), F.size(F.filter(vs, plain)) < k - keywords).otherwise(~F.exists(vs, lambda v: label(v) == label(c)))
+
+    def match(vs: list[Column], mask: Column) -> Column:
+        held = F.filter(F.array(*vs), lambda v: ~plain(v))
+        return (F.size(held) == keywords) & (F.size(F.array_distinct(F.transform(held, label))) == keywords)
+
+    out = None
+    for size in range(max(2, keywords), k + 1):
+        one = pattern_changes(after, before, added, removed, size, match, accept)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def motif_delta(changes: DataFrame) -> DataFrame:
     """(pattern_id, delta) of motif_changes: one less for each old pattern, one more for each new one."""
     both = F.array(F.struct(F.col("old_id").alias("id"), F.lit(-1).alias("n")), F.struct(F.col("new_id").alias("id"), F.lit(1).alias("n")))

@@ -8,13 +8,15 @@ so a restart from the stream's checkpoint repeats nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from motifloom.graph import Graph
+from motifloom.operators import mining
+from motifloom.plans.cut import pinned
 from motifloom.streaming import changes
 
 UPDATE = "tpe string, src long, dst long, ts long, key string, value string"
@@ -28,7 +30,8 @@ TYPES = ("VertexAdd", "VertexDel", "EdgeAdd", "EdgeDel", "VertexLabelMod", "Edge
 class GraphStream:
     """Keeps a graph's state in folder and evaluates a query after each batch of updates.
 
-    k and kind (clique or motif) are the query; output(changes, epoch) gets each epoch's changes besides the tables changes and
+    k and kind (clique, motif, color, keyword or pattern) are the query; pattern takes match(vertices, mask), color and keyword a
+    label(vertex) other than the derived one. output(changes, epoch) gets each epoch's changes besides the tables changes and
     totals. VertexAdd changes no edge; VertexDel deletes the vertex's edges; label updates are kept in the table labels. Of several
     updates to one edge in an epoch the greatest ts counts; at equal ts an addition and a deletion cancel each other.
     """
@@ -39,7 +42,8 @@ class GraphStream:
     kind: str = "clique"
     output: Callable[[DataFrame, int], None] | None = None
     compact_every: int = 16
-    options: dict = field(default_factory=dict)
+    label: Callable[[Column], Column] | None = None
+    match: Callable[[list[Column], Column], Column] | None = None
 
     def _table(self, name: str, schema: str) -> DataFrame:
         jvm = self.spark._jvm
@@ -67,13 +71,31 @@ class GraphStream:
         self._put(g.edges, "base", -1)
         self._put_totals(self._census(g), -1)
 
-    def _census(self, g: Graph) -> DataFrame:
-        from motifloom.operators import mining
+    def _label(self) -> Callable[[Column], Column]:
+        return self.label or (mining.keyword_label if self.kind == "keyword" else lambda v: mining.colour(v, self.k))
 
-        if self.kind == "clique":
-            return mining.kclique_count(g, self.k).select(F.lit(0).alias("pattern_id"), F.col("found").alias("delta"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("removed"))
-        c = mining.motif_census(g, self.k)
-        return c.select("pattern_id", F.col("cnt").alias("delta"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("removed"))
+    def _census(self, g: Graph) -> DataFrame:
+        none = F.lit(0).cast("long")
+        if self.kind == "motif":
+            rows = mining.motif_census(g, self.k).select("pattern_id", F.col("cnt").alias("delta"))
+        elif self.kind in ("clique", "color"):
+            n = mining.kclique_count(g, self.k) if self.kind == "clique" else mining.color_clique_count(g, self.k, label=self._label())
+            rows = n.select(F.lit(0).alias("pattern_id"), F.col("found").alias("delta"))
+        else:
+            found = mining.keyword_sets(g, self.k, label=self._label()) if self.kind == "keyword" else mining.PatternQuery(self.k, match=self.match).run(g)
+            rows = found.agg(F.count(F.lit(1)).alias("delta")).select(F.lit(0).alias("pattern_id"), "delta")
+        return rows.withColumns({"added": none, "removed": none})
+
+    def _changes(self, after: Graph, before: Graph, added: DataFrame, removed: DataFrame) -> DataFrame:
+        args = (after, before, added, removed, self.k)
+        if self.kind == "motif":
+            return changes.motif_changes(*args)
+        if self.kind == "keyword":
+            return changes.keyword_changes(*args, self._label(), mining.KEYWORDS)
+        if self.kind == "pattern":
+            return changes.pattern_changes(*args, self.match)
+        rows = changes.clique_changes(*args)
+        return rows if self.kind == "clique" else rows.where(F.size(F.array_distinct(F.transform("vertices", self._label()))) == self.k)
 
     def _put_totals(self, rows: DataFrame, epoch: int) -> None:
         self._put(rows.select(F.col("pattern_id").cast("int").alias("pattern_id"), F.col("delta").cast("long").alias("delta"), F.col("added").cast("long").alias("added"), F.col("removed").cast("long").alias("removed")), "deltas", epoch)
@@ -104,13 +126,10 @@ class GraphStream:
         now = self._table("log", LOG).where(F.col("epoch") == epoch)
         added, removed = now.where("alive").select("src", "dst"), now.where("not alive").select("src", "dst")
         after = self.snapshot(epoch)
-        if self.kind == "clique":
-            rows = changes.clique_changes(after, before, added, removed, self.k)
-        else:
-            rows = changes.motif_changes(after, before, added, removed, self.k)
+        rows = self._changes(after, before, added, removed)
         self._put(rows, "changes", epoch)
         rows = self.spark.read.parquet(f"{self.folder}/changes/epoch={epoch}")
-        if self.kind == "clique":
+        if self.kind != "motif":
             n = lambda s: F.count_if(F.col("status") == s)
             delta = rows.agg((n("add") - n("del")).alias("delta"), n("add").alias("added"), n("del").alias("removed")).withColumn("pattern_id", F.lit(0))
         else:
@@ -145,8 +164,6 @@ def replay_batches(edges: DataFrame, size: int, preload: int = 0, seed: int | No
     """
     key = F.struct("src", "dst") if seed is None else F.struct(F.xxhash64("src", "dst", F.lit(seed)).alias("h"), "src", "dst")
     placed = edges.withColumn("_k", key).repartitionByRange("_k").withColumn("_p", F.spark_partition_id())
-    from motifloom.plans.cut import pinned
-
     placed = pinned(placed)
     own = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_k")))
     held = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("m"))  # one row a partition

@@ -93,3 +93,71 @@ def test_replay_batches(spark):
     assert [r["batch"] for r in got] == [0] * 10 + [i // 7 + 1 for i in range(50)]
     shuffled = replay_batches(e, 7, 10, seed=1)
     assert sorted(r["batch"] for r in shuffled.collect()) == sorted(r["batch"] for r in got)
+
+
+def brute_keyword(edges, k):
+    found, ids = set(), sorted({v for e in edges for v in e})
+    for n in range(3, k + 1):
+        for s in combinations(ids, n):
+            held = [v & 31 for v in s if v & 31 < 3]
+            if sorted(held) != [0, 1, 2]:
+                continue
+            seen, todo = {s[0]}, [s[0]]
+            while todo:
+                v = todo.pop()
+                for w in s:
+                    if w not in seen and (min(v, w), max(v, w)) in edges:
+                        seen.add(w)
+                        todo.append(w)
+            if len(seen) == n:
+                found.add(s)
+    return found
+
+
+def test_keyword_color_and_pattern_changes(spark):
+    rng = random.Random(11)
+    ids = [0, 1, 2, 3, 4, 32, 33]
+    every = list(combinations(ids, 2))
+    before, after = set(rng.sample(every, 10)), set(rng.sample(every, 11))
+    table = lambda e: spark.createDataFrame(sorted(e), "src long, dst long")
+    args = (Graph(table(after)), Graph(table(before)), table(after - before), table(before - after))
+    rows = changes.keyword_changes(*args, 4, mining.keyword_label, 3).collect()
+    was, now = brute_keyword(before, 4), brute_keyword(after, 4)
+    got = {(tuple(r["vertices"]), r["status"]) for r in rows}
+    inside = lambda s, e: {p for p in combinations(s, 2) if p in e}
+    assert got == {(s, "add") for s in now - was} | {(s, "del") for s in was - now} | {(s, "mod") for s in was & now if inside(s, before) != inside(s, after)}
+    wedge = changes.pattern_changes(*args, 3, lambda vs, mask: F.bit_count(mask) == 2)
+    n = {r["status"]: r["n"] for r in wedge.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    count = lambda e: sum(len(inside(s, e)) == 2 for s in combinations(ids, 3))
+    assert n.get("add", 0) - n.get("del", 0) == count(after) - count(before)
+
+
+def test_miner(spark, tmp_path, capsys):
+    import numpy as np
+
+    from motifloom.__main__ import main
+    from motifloom.api import GraphMiner
+
+    edges = [(0, 1), (0, 2), (1, 2), (2, 3)]
+    np.array([e for a, b in edges for e in ((a, b), (b, a))], "<u4").tofile(tmp_path / "g")
+    m = GraphMiner(spark, str(tmp_path / "m"), 3, 2)
+    m.set_graph_input_files(str(tmp_path / "g"))
+    assert m.mine().first()["found"] == 1
+    seen = []
+    m.set_output_callback(lambda df, t: seen.append((t, sorted((tuple(r["vertices"]), r["status"]) for r in df.collect()))))
+    m.start()
+    m.vertex_new(9)
+    m.edge_new(1, 3)
+    m.edge_new(0, 3)
+    m.edge_del(0, 3)
+    m.vertex_label_is(1, "k", "v")
+    assert m.flush() == 0
+    m.unset_output_callback()
+    m.vertex_del(2)
+    m.flush()
+    assert seen == [(0, [((1, 2, 3), "add")])]
+    assert [(r["ts"], r["total"]) for r in m.totals().orderBy("ts").collect()] == [(-1, 1), (0, 2), (1, 0)]
+    m.stop()
+    for kind in (["-a", "1"], ["-a", "3", "-k", "4"], ["-b", "2", "-u", "1", "-o", str(tmp_path / "a")], ["-b", "2", "-r", "-o", str(tmp_path / "r")]):
+        main(["-f", str(tmp_path / "g"), *kind])
+    assert "total" in capsys.readouterr().out
