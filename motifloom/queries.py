@@ -16,8 +16,8 @@ from motifloom.sql import ORACLE
 from motifloom.streaming import changes
 from motifloom.streaming.runner import replay_batches
 
-#: Edges in a batch of the replays, and those that are there before.
-BATCH, PRELOAD = 2000, 1000
+#: The replays begin with half of the edges; the others come in so many batches.
+EPOCHS = 4
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
@@ -193,7 +193,9 @@ def kcore_prune(spark, sf_dir):
 
 def history(spark, sf_dir) -> DataFrame:
     """The copurchase edges with the batch in which a replay adds them."""
-    return replay_batches(copurchase(spark, sf_dir).edges, BATCH, PRELOAD)
+    e = pinned(copurchase(spark, sf_dir).edges)
+    m = e.count()
+    return replay_batches(e, max(1, -(-(m - m // 2) // EPOCHS)), m // 2)
 
 
 def replay_batch_sizes(spark, sf_dir):
@@ -208,10 +210,10 @@ def snapshot_asof(spark, sf_dir):
 
 
 def _epochs(spark, sf_dir, evaluate) -> DataFrame:
-    """evaluate(after, before, added) of each insert epoch 1, 2, 3, from the graph of the epochs before."""
-    e = pinned(history(spark, sf_dir).where("batch <= 3"))
+    """evaluate(after, before, added) of each insert epoch, from the graph of the epochs before."""
+    e = pinned(history(spark, sf_dir))
     out = None
-    for t in (1, 2, 3):
+    for t in range(1, EPOCHS + 1):
         rows = evaluate(Graph(e.where(F.col("batch") <= t).select("src", "dst")), Graph(e.where(F.col("batch") < t).select("src", "dst")), e.where(F.col("batch") == t)).withColumn("ts", F.lit(t).cast("long"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -233,10 +235,10 @@ def delta_motif3_by_batch(spark, sf_dir):
 
 
 def delete_triangles_by_batch(spark, sf_dir):
-    """The whole graph is there; the batches 1, 2 and 3 go one after another."""
+    """The whole graph is there; the batches go one after another."""
     e = pinned(history(spark, sf_dir))
     out = None
-    for t in (1, 2, 3):
+    for t in range(1, EPOCHS + 1):
         gone = lambda upto: (F.col("batch") >= 1) & (F.col("batch") <= upto)
         before, after = (Graph(e.where(~gone(x)).select("src", "dst")) for x in (t - 1, t))
         rows = count(changes.clique_changes(after, before, e.limit(0), e.where(F.col("batch") == t), 3)).withColumn("ts", F.lit(t).cast("long"))
@@ -245,10 +247,11 @@ def delete_triangles_by_batch(spark, sf_dir):
 
 
 def clique_changes_mixed(spark, sf_dir):
-    """Epoch 2 adds its batch and deletes that of epoch 1: how many triangles come, go and stay changed."""
-    e = pinned(history(spark, sf_dir).where("batch <= 2"))
-    before, after = Graph(e.where("batch <= 1").select("src", "dst")), Graph(e.where("batch != 1").select("src", "dst"))
-    return changes.clique_changes(after, before, e.where("batch = 2"), e.where("batch = 1"), 3).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """An epoch adds the last batch and deletes the first: how many triangles come and go."""
+    e = pinned(history(spark, sf_dir))
+    first, last = F.col("batch") == 1, F.col("batch") == EPOCHS
+    before, after = (Graph(e.where(~x).select("src", "dst")) for x in (last, first))
+    return changes.clique_changes(after, before, e.where(last), e.where(first), 3).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def running_total(spark, sf_dir):

@@ -11,7 +11,7 @@ DEG = "d AS (SELECT v, count(*) AS degree FROM s GROUP BY v)"
 TRI = "t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst)"
 K4 = "k4 AS (SELECT a, b, c, w.dst AS d FROM t JOIN e w ON w.src = c JOIN e x ON x.src = a AND x.dst = w.dst JOIN e y ON y.src = b AND y.dst = w.dst)"
 K5 = "k5 AS (SELECT a, b, c, d, w.dst AS f FROM k4 JOIN e w ON w.src = d JOIN e x ON x.src = a AND x.dst = w.dst JOIN e y ON y.src = b AND y.dst = w.dst JOIN e z ON z.src = c AND z.dst = w.dst)"
-HIST = "h AS (SELECT src, dst, CAST(CASE WHEN rn < 1000 THEN 0 ELSE (rn - 1000) // 2000 + 1 END AS BIGINT) AS batch FROM (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS rn FROM e))"
+HIST = "h AS (SELECT src, dst, CAST(CASE WHEN rn < m // 2 THEN 0 ELSE (rn - m // 2) // ((m - m // 2 + 3) // 4) + 1 END AS BIGINT) AS batch FROM (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS rn, count(*) OVER () AS m FROM e))"
 TTS = "tt AS (SELECT a, b, c, greatest(x.batch, y.batch, z.batch) AS ts, least(x.batch, y.batch, z.batch) AS ts0 FROM t JOIN h x ON x.src = a AND x.dst = b JOIN h y ON y.src = a AND y.dst = c JOIN h z ON z.src = b AND z.dst = c)"
 N = "CAST(count(*) AS BIGINT)"
 S = "CAST(sum({}) AS BIGINT)"
@@ -47,10 +47,10 @@ c4 AS (SELECT a, b, c, d FROM near WHERE (da OR (db AND ab) OR (dc AND ac) OR (d
 NAME3 = "array_to_string(list_sort([a, b, c]), '-')"
 NAME4 = "array_to_string(list_sort([a, b, c, d]), '-')"
 EPOCHS = "SELECT CAST(ts AS BIGINT) AS ts, {} AS found FROM {} GROUP BY ts"
-DELTA3 = """g AS (SELECT 1 AS ts UNION ALL SELECT 2 UNION ALL SELECT 3),
-dd AS (SELECT k AS upto, v, count(*) AS degree FROM (SELECT unnest([0, 1, 2, 3]) AS k) JOIN (SELECT src AS v, batch FROM h UNION ALL SELECT dst, batch FROM h) ON batch <= k GROUP BY ALL),
+DELTA3 = """g AS (SELECT 1 AS ts UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4),
+dd AS (SELECT k AS upto, v, count(*) AS degree FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k) JOIN (SELECT src AS v, batch FROM h UNION ALL SELECT dst, batch FROM h) ON batch <= k GROUP BY ALL),
 ww AS (SELECT upto, sum(degree * (degree - 1) // 2) AS n FROM dd GROUP BY upto),
-t3 AS (SELECT k AS upto, count(ts) AS n FROM (SELECT unnest([0, 1, 2, 3]) AS k) LEFT JOIN tt ON ts <= k GROUP BY k),
+t3 AS (SELECT k AS upto, count(ts) AS n FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k) LEFT JOIN tt ON ts <= k GROUP BY k),
 cen AS (SELECT upto, 22 AS pattern_id, ww.n - 3 * t3.n AS n FROM ww JOIN t3 USING (upto) UNION ALL SELECT upto, 42, n FROM t3)"""
 INDUCED3 = """p3 AS (SELECT x.v AS m, x.u AS p, y.u AS r FROM s x JOIN s y ON x.v = y.v AND x.u < y.u),
 open3 AS (SELECT m, p, r FROM p3 WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = p AND dst = r))"""
@@ -95,15 +95,15 @@ ORACLE: dict[str, str] = {
     "kcore_prune": q("SELECT src, dst FROM r24", E, CORE),
     "replay_batch_sizes": q(f"SELECT batch, {N} AS n, {S.format('src')} AS sum_src FROM h GROUP BY batch", E, HIST),
     "snapshot_asof": q("SELECT src, dst, batch AS add_ts FROM h WHERE batch <= 2 AND NOT (batch = 0 AND (src + dst) % 2 = 0)", E, HIST),
-    "delta_triangles_by_batch": q("SELECT g AS ts, CAST((SELECT count(*) FROM tt WHERE ts = g) AS BIGINT) AS found FROM (SELECT unnest([CAST(1 AS BIGINT), 2, 3]) AS g)", E, TRI, HIST, TTS),
-    "delta_clique4_by_batch": q("SELECT g AS ts, CAST((SELECT count(*) FROM kk WHERE ts = g) AS BIGINT) AS found FROM (SELECT unnest([CAST(1 AS BIGINT), 2, 3]) AS g)", E, TRI, K4, HIST,
+    "delta_triangles_by_batch": q("SELECT g AS ts, CAST((SELECT count(*) FROM tt WHERE ts = g) AS BIGINT) AS found FROM (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS g)", E, TRI, HIST, TTS),
+    "delta_clique4_by_batch": q("SELECT g AS ts, CAST((SELECT count(*) FROM kk WHERE ts = g) AS BIGINT) AS found FROM (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS g)", E, TRI, K4, HIST,
         "kk AS (SELECT greatest(p.batch, r.batch, o.batch, x.batch, y.batch, z.batch) AS ts FROM k4 JOIN h p ON p.src = a AND p.dst = b JOIN h r ON r.src = a AND r.dst = c JOIN h o ON o.src = a AND o.dst = d JOIN h x ON x.src = b AND x.dst = c JOIN h y ON y.src = b AND y.dst = d JOIN h z ON z.src = c AND z.dst = d)"),
     "delta_motif3_by_batch": q("SELECT n.pattern_id, CAST(n.n - o.n AS BIGINT) AS delta, CAST(g.ts AS BIGINT) AS ts FROM g JOIN cen n ON n.upto = g.ts JOIN cen o ON o.upto = g.ts - 1 AND o.pattern_id = n.pattern_id WHERE n.n <> o.n", E, TRI, HIST, TTS, DELTA3),
-    "delete_triangles_by_batch": q("SELECT g AS ts, CAST((SELECT count(*) FROM td WHERE first_gone = g) AS BIGINT) AS found FROM (SELECT unnest([CAST(1 AS BIGINT), 2, 3]) AS g)", E, TRI, HIST,
-        "td AS (SELECT least(CASE WHEN x.batch BETWEEN 1 AND 3 THEN x.batch ELSE 99 END, CASE WHEN y.batch BETWEEN 1 AND 3 THEN y.batch ELSE 99 END, CASE WHEN z.batch BETWEEN 1 AND 3 THEN z.batch ELSE 99 END) AS first_gone FROM t JOIN h x ON x.src = a AND x.dst = b JOIN h y ON y.src = a AND y.dst = c JOIN h z ON z.src = b AND z.dst = c)"),
+    "delete_triangles_by_batch": q("SELECT g AS ts, CAST((SELECT count(*) FROM td WHERE first_gone = g) AS BIGINT) AS found FROM (SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4]) AS g)", E, TRI, HIST,
+        "td AS (SELECT least(CASE WHEN x.batch BETWEEN 1 AND 4 THEN x.batch ELSE 99 END, CASE WHEN y.batch BETWEEN 1 AND 4 THEN y.batch ELSE 99 END, CASE WHEN z.batch BETWEEN 1 AND 4 THEN z.batch ELSE 99 END) AS first_gone FROM t JOIN h x ON x.src = a AND x.dst = b JOIN h y ON y.src = a AND y.dst = c JOIN h z ON z.src = b AND z.dst = c)"),
     "clique_changes_mixed": q(f"SELECT status, {N} AS n FROM ch GROUP BY status", E, TRI, HIST,
         "tb AS (SELECT [x.batch, y.batch, z.batch] AS b FROM t JOIN h x ON x.src = a AND x.dst = b JOIN h y ON y.src = a AND y.dst = c JOIN h z ON z.src = b AND z.dst = c)",
-        "ch AS (SELECT 'add' AS status FROM tb WHERE list_max(b) = 2 AND NOT list_contains(b, 1) UNION ALL SELECT 'del' FROM tb WHERE list_max(b) = 1)"),
+        "ch AS (SELECT 'add' AS status FROM tb WHERE list_contains(b, 4) AND NOT list_contains(b, 1) UNION ALL SELECT 'del' FROM tb WHERE list_contains(b, 1) AND NOT list_contains(b, 4))"),
     "running_total": q("SELECT ts, found, CAST(sum(found) OVER (ORDER BY ts) AS BIGINT) AS total FROM p", E, TRI, HIST, TTS, f"p AS (SELECT ts, {N} AS found FROM tt GROUP BY ts)"),
     "custom_pattern": q("SELECT list_sort([m, p, r])[1] AS a, list_sort([m, p, r])[2] AS b, list_sort([m, p, r])[3] AS c FROM open3 WHERE m % 2 = 1 AND p % 2 = 0 AND r % 2 = 0", E, SYM, INDUCED3),
     "custom_symmetric": q(f"SELECT {N} AS found FROM k4 WHERE d - a <= 1000", E, TRI, K4),
