@@ -76,6 +76,8 @@ class Roll:
             return None
         self.out.close()
         self.out, name = None, f"{self.stem}-{self.number:05d}.warc.gz"
+        if self.fs.get_file_info(f"{self.folder}/{name}").type != fs.FileType.NotFound:  # of a task that ran before; not every store replaces on a move
+            self.fs.delete_file(f"{self.folder}/{name}")
         self.fs.move(self.temp, f"{self.folder}/{name}")
         self.number += 1
         return {"file": name, "n_records": self.n, "n_bytes": self.size, "sha256": self.sha.hexdigest(), "first_id": self.first, "last_id": self.last}
