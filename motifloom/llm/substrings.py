@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from motifloom.llm.common import partitions, range_buckets
 
 #: Bytes of text in a batch, and edges in a bucket, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_EDGES = 1 << 20
 MIN_BUCKETS = 256
 LAST = np.iinfo(np.int64).max
