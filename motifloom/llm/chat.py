@@ -12,19 +12,28 @@ from pyspark.sql import functions as F
 
 
 def with_prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, role, text, pos (from 1), h1, h2 (of the turns up to pos), n (turns of the conversation), c1, c2 (of all its turns).
+    """conv_id, pos (from 1), h1, h2 (of the turns up to pos), n (turns of the conversation), c1, c2 (of all its turns), without the texts.
 
-    Turns are ordered by (turn, role, text), nulls first. Null roles and texts differ from empty ones.
+    Turns are ordered by (turn, role, MD5 of text), nulls first. Null roles and texts differ from empty ones.
     """
-    rows = turns.select("conv_id", "turn", "role", "text")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("pos", F.row_number().over(order))
-    parts = [F.col("pos"), F.col("role").isNull(), F.col("text").isNull(), F.length("role"), F.col("role"), F.col("text")]
-    rows = rows.withColumns({"t1": F.xxhash64(F.lit(1), *parts), "t2": F.xxhash64(F.lit(2), *parts)})
-    upto = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    parts = [F.col("role").isNull(), F.col("text").isNull(), F.length("role"), F.col("role"), F.col("text")]
+    rows = turns.select("conv_id", "turn", "role", F.md5("text").alias("tie"), F.xxhash64(F.lit(1), *parts).alias("t1"), F.xxhash64(F.lit(2), *parts).alias("t2"))
     whole = Window.partitionBy("conv_id")
+    order = whole.orderBy("turn", "role", "tie")
+    rows = rows.withColumn("pos", F.row_number().over(order))
+    rows = rows.withColumns({t: F.xxhash64("pos", t) for t in ("t1", "t2")})
+    upto = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"h1": F.bit_xor("t1").over(upto), "h2": F.bit_xor("t2").over(upto)})
-    return rows.withColumns({"n": F.max("pos").over(whole), "c1": F.bit_xor("t1").over(whole), "c2": F.bit_xor("t2").over(whole)}).drop("t1", "t2")
+    rows = rows.withColumns({"n": F.max("pos").over(whole), "c1": F.bit_xor("t1").over(whole), "c2": F.bit_xor("t2").over(whole)})
+    return rows.select("conv_id", "pos", "h1", "h2", "n", "c1", "c2")
+
+
+def maximal(rows: DataFrame) -> DataFrame:
+    """(keep_id, n, c1, c2): of rows with_prefixes, the conversations that no longer one continues; of equal ones the smallest conv_id (nulls last)."""
+    ends = rows.where("pos = n").groupBy("n", "c1", "c2").agg(F.min("conv_id").alias("keep_id"))
+    # one row for each distinct prefix, so that a first turn shared by many conversations is one key once
+    prefixes = rows.where("pos < n").groupBy(F.col("pos").alias("n"), F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(F.lit(True).alias("longer"))
+    return ends.join(prefixes, ["n", "c1", "c2"], "left_anti")
 
 
 def chatml(role: Column, text: Column) -> Column:
@@ -37,18 +46,10 @@ def collapse_conversations(turns: DataFrame) -> DataFrame:
 
     All rows of a null conv_id are one conversation. Empty table: no rows.
     """
-    return _marked(with_prefixes(turns)).select("conv_id", F.col("n").alias("n_turns"), F.col("c1").alias("h1"), F.col("c2").alias("h2"), "kept")
-
-
-def _marked(rows: DataFrame) -> DataFrame:
-    ends = rows.where("pos = n").select("conv_id", "n", "c1", "c2")
-    # one row for each distinct prefix, so that a first turn shared by many conversations is one key once
-    prefixes = rows.where("pos < n").groupBy("pos", "h1", "h2").agg(F.lit(True).alias("longer"))
-    ends = ends.join(prefixes, (F.col("n") == F.col("pos")) & (F.col("c1") == F.col("h1")) & (F.col("c2") == F.col("h2")), "left_anti")
-    first = ends.groupBy("n", "c1", "c2").agg(F.min("conv_id").alias("first_id"))
-    maximal = first.select(F.col("first_id").alias("conv_id"), F.lit(True).alias("_kept"))
-    every = rows.where("pos = n").select("conv_id", "n", "c1", "c2")
-    return every.join(maximal, every["conv_id"].eqNullSafe(maximal["conv_id"]), "left").select(every["conv_id"], "n", "c1", "c2", F.coalesce("_kept", F.lit(False)).alias("kept"))
+    rows = with_prefixes(turns)
+    keep = maximal(rows).select("keep_id", F.lit(True).alias("_kept"))
+    every = rows.where("pos = n").select("conv_id", "n", "c1", "c2").join(keep, F.col("conv_id").eqNullSafe(F.col("keep_id")), "left")
+    return every.select("conv_id", F.col("n").alias("n_turns"), F.col("c1").alias("h1"), F.col("c2").alias("h2"), F.coalesce("_kept", F.lit(False)).alias("kept"))
 
 
 def format_chats(turns: DataFrame, render=chatml) -> DataFrame:
@@ -57,11 +58,7 @@ def format_chats(turns: DataFrame, render=chatml) -> DataFrame:
     text joins the rendered turns in order. Null roles and texts render as empty. Repeated turn rows are turns of
     their own. Extra columns are ignored; an empty table gives no rows.
     """
-    rows = with_prefixes(turns)
-    ends = rows.where("pos = n").select("conv_id", "n", "c1", "c2")
-    prefixes = rows.where("pos < n").groupBy(F.col("pos").alias("n"), F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(F.lit(True).alias("longer"))
-    maximal = ends.join(prefixes, ["n", "c1", "c2"], "left_anti")
-    keep = maximal.groupBy("n", "c1", "c2").agg(F.min("conv_id").alias("keep_id"))
-    kept = rows.join(keep.select("keep_id", F.lit(True).alias("is_kept")), rows["conv_id"].eqNullSafe(F.col("keep_id")), "left_semi")
-    turn = F.struct("pos", render(F.col("role"), F.col("text")).alias("t"))
-    return kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["t"]), "").alias("text"))
+    keep = maximal(with_prefixes(turns)).select("keep_id")
+    kept = turns.select("conv_id", "turn", "role", "text").join(keep, F.col("conv_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    turn = F.struct("turn", "role", F.md5("text").alias("tie"), render(F.col("role"), F.col("text")).alias("t"))
+    return kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(F.sort_array(F.collect_list(turn)), lambda x: x["t"]), "").alias("text"))

@@ -82,7 +82,7 @@ x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM w),
 k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
-OP8 = """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
+OP8 = """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS pos FROM conversations),
 c AS (SELECT conv_id, max(pos) AS n, list([role, text] ORDER BY pos) AS turns FROM t GROUP BY conv_id),
 p AS (SELECT DISTINCT turns[1 : i] AS turns FROM (SELECT turns, unnest(range(1, n)) AS i FROM c)),
 k AS (SELECT min(conv_id) AS conv_id FROM c ANTI JOIN p USING (turns) GROUP BY turns)
