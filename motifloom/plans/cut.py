@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def pinned(df: DataFrame) -> DataFrame:
     """df, computed once and kept in spark.checkpoint.dir (a folder of our own where that is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="motifloom-"))
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _shared(spark: SparkSession) -> str:
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="motifloom-"))
+    return named or os.path.dirname(sc.getCheckpointDir())
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder."""
+    return f"{_shared(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -11,10 +11,10 @@ from motifloom.functions import masks
 from motifloom.graph import Graph
 from motifloom.operators import mining
 from motifloom.plans import expand
-from motifloom.plans.cut import pinned
+from motifloom.plans.cut import pinned, shared_folder
 from motifloom.sql import ORACLE
 from motifloom.streaming import changes
-from motifloom.streaming.runner import replay_batches
+from motifloom.streaming.runner import UPDATE, GraphStream, replay_batches
 
 #: The replays begin with half of the edges; the others come in so many batches.
 EPOCHS = 4
@@ -264,6 +264,19 @@ def running_total(spark, sf_dir):
     return changes.with_totals(per, "found").select("ts", "found", F.col("total").cast("long").alias("total"))
 
 
+def stream_replay_triangles(spark, sf_dir):
+    """The replay as a stream: each batch's files arrive, a micro-batch takes them, and the totals follow. ts -1 is the preloaded half."""
+    e = pinned(history(spark, sf_dir))
+    folder = shared_folder(spark, "stream")
+    stream = GraphStream(spark, f"{folder}/state")
+    stream.preload(e.where("batch = 0"))
+    for t in range(1, EPOCHS + 1):
+        updates = e.where(F.col("batch") == t).selectExpr("'EdgeAdd' as tpe", "src", "dst", "batch as ts", "cast(null as string) as key", "cast(null as string) as value")
+        updates.write.mode("append").parquet(f"{folder}/in")
+        stream.start(spark.readStream.schema(UPDATE).parquet(f"{folder}/in")).awaitTermination()
+    return stream.totals().select("ts", "added", "removed", "total")
+
+
 def custom_pattern(spark, sf_dir):
     """Paths a-b-c of three vertices whose ends aren't adjacent and are both even, the middle being odd."""
     g = copurchase(spark, sf_dir)
@@ -294,7 +307,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     triangle_count, triangle_count_chain, triangle_list, triangle_per_vertex, triangle_per_edge, kclique3_count, kclique4_count, kclique5_count, kclique4_list, color_clique3, color_clique4,
     motif3, motif4, motif3_closed_form, motif4_closed_form, distinct_patterns, bfs_level_counts, clique4_from_triangles, keyword_dist_2hop, keyword_cover_k4, keyword_minimal_k4,
     active_seeds_k4, kcore_prune, replay_batch_sizes, snapshot_asof, delta_triangles_by_batch, delta_clique4_by_batch, delta_motif3_by_batch, delete_triangles_by_batch,
-    clique_changes_mixed, running_total, custom_pattern, custom_symmetric, embedding_masks,
+    clique_changes_mixed, running_total, stream_replay_triangles, custom_pattern, custom_symmetric, embedding_masks,
 ]
 
 

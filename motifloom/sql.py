@@ -105,6 +105,7 @@ ORACLE: dict[str, str] = {
         "tb AS (SELECT [x.batch, y.batch, z.batch] AS b FROM t JOIN h x ON x.src = a AND x.dst = b JOIN h y ON y.src = a AND y.dst = c JOIN h z ON z.src = b AND z.dst = c)",
         "ch AS (SELECT 'add' AS status FROM tb WHERE list_contains(b, 4) AND NOT list_contains(b, 1) UNION ALL SELECT 'del' FROM tb WHERE list_contains(b, 1) AND NOT list_contains(b, 4))"),
     "running_total": q("SELECT ts, found, CAST(sum(found) OVER (ORDER BY ts) AS BIGINT) AS total FROM p", E, TRI, HIST, TTS, f"p AS (SELECT ts, {N} AS found FROM tt GROUP BY ts)"),
+    "stream_replay_triangles": q("SELECT k AS ts, CAST(CASE WHEN k < 0 THEN 0 ELSE (SELECT count(*) FROM tt WHERE ts = k + 1) END AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, CAST((SELECT count(*) FROM tt WHERE ts <= k + 1) AS BIGINT) AS total FROM (SELECT unnest([CAST(-1 AS BIGINT), 0, 1, 2, 3]) AS k)", E, TRI, HIST, TTS),
     "custom_pattern": q("SELECT list_sort([m, p, r])[1] AS a, list_sort([m, p, r])[2] AS b, list_sort([m, p, r])[3] AS c FROM open3 WHERE m % 2 = 1 AND p % 2 = 0 AND r % 2 = 0", E, SYM, INDUCED3),
     "custom_symmetric": q(f"SELECT {N} AS found FROM k4 WHERE d - a <= 1000", E, TRI, K4),
     # a mask's bits are (0,1), (0,2), (1,2): v0 is the least vertex, v1 the least neighbour that the canonical order starts from
