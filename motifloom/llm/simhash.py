@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, block: int = B
 DEVIATIONS = 3.2
 #: Candidates whose shingles are in one task at most, twice.
 VERIFIED = 1 << 12
+CHUNK = 512
 SKETCH = "doc_id long, n int, a long, b long, w1 long, w2 long"
 
 
@@ -298,22 +299,25 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
 
     def verify(x: pd.DataFrame) -> pd.DataFrame:
         ids, shingles = x["id"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in x["shingles"]]
-        root, out = list(range(len(ids))), []
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        root, out = np.arange(len(ids)), []
         for left, right in near_pairs(*arrays(x), similarity):
-            for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                p, q = find(i), find(j)
-                if p != q:
-                    both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-                    if both >= similarity * (len(shingles[i]) + len(shingles[j]) - both) - 1e-9:
-                        root[max(p, q)] = min(p, q)
-                        out.append((ids[i], ids[j]))
+            while len(left):
+                while (root[root] != root).any():
+                    root = root[root]
+                apart = root[left] != root[right]  # a pair whose ends are joined already needs no look
+                left, right = left[apart], right[apart]
+                for i, j in zip(left[:CHUNK].tolist(), right[:CHUNK].tolist(), strict=True):
+                    p, q = int(root[i]), int(root[j])
+                    while p != root[p]:
+                        p = int(root[p])
+                    while q != root[q]:
+                        q = int(root[q])
+                    if p != q:
+                        both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                        if both >= similarity * (len(shingles[i]) + len(shingles[j]) - both) - 1e-9:
+                            root[max(p, q)] = min(p, q)
+                            out.append((ids[i], ids[j]))
+                left, right = left[CHUNK:], right[CHUNK:]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     rows = classes.join(held, "id").select("n", "id", "a", "b", "shingles")
