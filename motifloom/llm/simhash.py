@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -179,74 +180,102 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, block: int = B
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: A document of the least similarity differs from another in a share of bits that follows from the angle between their shingles; so many
-#: deviations beyond it are still compared.
-DEVIATIONS = 3.2
 #: Candidates whose shingles are in one task at most, twice.
 VERIFIED = 1 << 12
+#: Bytes of sketches or shingles in one task at most, twice.
+HELD = 1 << 26
 CHUNK = 512
-SKETCH = "doc_id long, n int, a long, b long, w1 long, w2 long"
+SKETCH = "doc_id long, n int, odd binary, w1 long, w2 long"
 
 
-def _second(h: np.ndarray) -> np.ndarray:
-    """64 further bits for each hash."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def apart(similarity: float) -> float:
+    """Sets of this Jaccard similarity or more differ in at most this share of the sum of their sizes."""
+    return (1 - similarity) / (1 + similarity)
 
 
-def radii(similarity: float) -> tuple[int, int]:
-    """The most bits of 64 and of 128 in which sets of this Jaccard similarity differ, DEVIATIONS beyond the mean."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return tuple(int(np.ceil(n * share + DEVIATIONS * (n * share * (1 - share)) ** 0.5)) for n in (64, 128))
+@lru_cache(maxsize=1 << 16)
+def width(n: int, similarity: float) -> int:
+    """Bits of the sketch of n shingles: the least power of two, up to four a shingle, that tells unrelated sets apart by five deviations."""
+    bits, most = 128, (n + n / similarity) * apart(similarity)
+    while bits < 4 * n:
+        share = 0.5 * (1 - np.exp(-4 * n / bits))
+        if bits * share - 5 * (bits * share * (1 - share)) ** 0.5 > most:
+            break
+        bits *= 2
+    return bits
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """Of each row of docs (doc_id, text): its number of distinct k-word shingles, two fingerprints of them and 128 bits of its words."""
+def odd_sketch(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bit i is 1 if an odd number of the distinct hashes are i modulo bits; two sketches differ in no more bits than their sets in members."""
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as they are for fewer bits."""
+    return x if x.shape[1] == words else np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1)
+
+
+def sketches(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Of each row of docs (doc_id, text): its number of distinct k-word shingles, their odd sketch and 128 bits of its words."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = np.zeros((5, len(x)), np.uint64)
+            out, odd = np.zeros((3, len(x)), np.uint64), []
             for row, text in enumerate(x["text"].array):
                 words = words_of(text)
                 h = np.unique(shingle_hashes(words, k))
                 whole = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                out[:, row] = len(h), majority(h), majority(_second(h)), *np.frombuffer(whole, np.uint64)
-            n, a, b, w1, w2 = out.view(np.int64)
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n": n, "a": a, "b": b, "w1": w1, "w2": w2})
+                out[:, row] = len(h), *np.frombuffer(whole, np.uint64)
+                odd.append(odd_sketch(h, width(len(h), similarity)).tobytes())
+            n, w1, w2 = out.view(np.int64)
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n": n, "odd": odd, "w1": w1, "w2": w2})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of, SKETCH)
 
 
-def near_pairs(n: np.ndarray, a: np.ndarray, b: np.ndarray, home: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions, one of them home, whose sizes and fingerprints allow the similarity."""
-    r64, r128 = radii(similarity)
-    order = np.lexsort((np.bitwise_count(a), n, ~home))
-    n, a, b, pop = n[order], a[order], b[order], np.bitwise_count(a[order]).astype(int)
-    n_home = int(home.sum())
+def near_pairs(n: np.ndarray, odd: list[bytes], home: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions, one of them home, whose sizes and sketches allow the similarity: every pair that has it, and few others."""
+    order = np.lexsort((n, ~home))
+    n, n_home, share = n[order], int(home.sum()), apart(similarity)
+
+    def tile(i: int, j: int) -> tuple:
+        rows = [np.frombuffer(odd[at], np.uint64) for at in order[i:j]]
+        words = min(map(len, rows))
+        return i, j, n[i], n[j - 1], np.concatenate([folded(r[None], words) for r in rows])
+
     bounds = [(i, min(i + TILE, n_home)) for i in range(0, n_home, TILE)]
-    tiles = [(i, j, n[i], n[j - 1], pop[i:j].min(), pop[i:j].max()) for i, j in [*bounds, *((i, min(i + TILE, len(n))) for i in range(n_home, len(n), TILE))]]
-    for x, (i0, i1, nlo, nhi, plo, phi) in enumerate(tiles[: len(bounds)]):
-        for j0, j1, mlo, mhi, qlo, qhi in tiles[x:]:
-            if nhi < similarity * mlo or mhi < similarity * nlo or plo - qhi > r64 or qlo - phi > r64:
+    tiles = [tile(i, j) for i, j in [*bounds, *((i, min(i + TILE, len(n))) for i in range(n_home, len(n), TILE))]]
+    for x, (i0, i1, nlo, nhi, a) in enumerate(tiles[: len(bounds)]):
+        for j0, j1, mlo, mhi, b in tiles[x:]:
+            if nhi < similarity * mlo - 1e-9 or mhi < similarity * nlo - 1e-9:
                 continue
-            i, j = (np.bitwise_count(a[i0:i1, None] ^ a[None, j0:j1]) <= r64).nonzero()
-            i, j = i + i0, j + j0
-            good = i < j
-            i, j = i[good], j[good]
-            far = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j])
-            good = (far <= r128) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-            if good.any():
-                yield order[i[good]], order[j[good]]
-
-
-def _cells(rows: DataFrame, similarity: float, block: int) -> DataFrame:
-    """rows (n, id, ...) with the cell, home block, visitor block and home flag of each task that they go to; similar sizes share a task."""
+            words, most = min(a.shape[1], b.shape[1]), (nhi + mhi) * share + 1e-6
+            left, right = folded(a, words).T.copy(), folded(b, words).T.copy()
+            far = np.zeros((i1 - i0, j1 - j0), np.uint16 if words < 1024 else np.uint32)
+            for w in range(words):
+                far += np.bitwise_count(left[w][:, None] ^ right[w])
+                if 64 * (w + 1) > most and far.min() > most:
+                    break
+            else:
+                i, j = (far <= most).nonzero()
+                both = n[i + i0] + n[j + j0]
+                good = (far[i, j] <= both * share + 1e-6) & (np.minimum(n[i + i0], n[j + j0]) >= similarity * np.maximum(n[i + i0], n[j + j0]) - 1e-9)
+                i, j = i[good] + i0, j[good] + j0
+                i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield order[i], order[j]
+
+
+def _cells(rows: DataFrame, similarity: float, block: int, each_bytes: float) -> DataFrame:
+    """rows (n, id, ...) with the cell, home block, visitor block and home flag of each task that they go to; similar sizes share a task.
+    A row has about each_bytes a shingle."""
     cell = F.floor(F.log("n") / F.lit(-float(np.log(similarity))) + 1e-9).cast("int")
     placed = rows.withColumn("cell", cell)
     count = {r["cell"]: r["m"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).collect()}  # one row for each size class
-    around = lambda c: count.get(c + 1, 0) + (count[c] if count[c] > block else 0)
-    grid = [(c, -(-m // block), max(1, -(-around(c) // block))) for c, m in count.items()]
+    most = {c: max(1, min(block, int(HELD / (each_bytes * similarity ** -(c + 2.0))))) for c in count}
+    around = lambda c: count.get(c + 1, 0) + (count[c] if count[c] > most[c] else 0)
+    grid = [(c, -(-m // most[c]), max(1, -(-around(c) // most[c]))) for c, m in count.items()]
     cells = F.broadcast(rows.sparkSession.createDataFrame(grid, "to int, n_home int, n_visit int"))
     spread = F.xxhash64("id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -261,17 +290,17 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, bloc
     """doc_id, component_id for every row of docs (doc_id, text); component_id is the smallest doc_id reachable over pairs of texts whose
     sets of k-word shingles (A-Z lower-cased) have a Jaccard similarity of at least similarity.
 
-    Fingerprints of 128 bits find the candidates by tiled comparison; their shingles decide. A pair is left out only if more bits
-    differ than in all but one in a thousand pairs of the least similarity. Texts of equal words, also of none, are one class. Rows with a null doc_id have component null.
+    Odd sketches find the candidates by tiled comparison; their shingles decide. Sketches differ in no more bits than the sets in
+    shingles, so no pair is left out, whatever its length. Texts of equal words, also of none, are one class. Rows with a null doc_id have component null.
     """
-    rows = pinned(sketches(docs, k))
+    rows = pinned(sketches(docs, k, similarity))
     same = ["w1", "w2"]
-    classes = rows.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
+    classes = rows.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("odd").alias("odd"))
     classes = pinned(classes)
     if not classes.where("n > 0").take(1):
         near = rows.sparkSession.createDataFrame([], "u long, v long")
     else:
-        near = _verified(docs, classes.where("n > 0").select("n", "id", "a", "b"), k, similarity, block, verified)
+        near = _verified(docs, classes.where("n > 0").select("n", "id", "odd"), k, similarity, block, verified)
     roots = connected_components(near)
     found = classes.join(roots, classes["id"] == roots["node"], "left").select(*(F.col(c).alias(f"_{c}") for c in same), F.coalesce("component", "id").alias("component_id"))
     return rows.join(found, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")), "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -279,7 +308,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, bloc
 
 def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, block: int, verified: int) -> DataFrame:
     def arrays(x: pd.DataFrame) -> tuple:
-        return x["n"].to_numpy(np.int64), x["a"].to_numpy(np.int64).view(np.uint64), x["b"].to_numpy(np.int64).view(np.uint64), x["home"].to_numpy(bool)
+        return x["n"].to_numpy(np.int64), x["odd"].tolist(), x["home"].to_numpy(bool)
 
     def candidates(x: pd.DataFrame) -> pd.DataFrame:
         hit = np.zeros(len(x), bool)
@@ -287,7 +316,7 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
             hit[i] = hit[j] = True
         return pd.DataFrame({"id": x["id"].to_numpy()[hit]})
 
-    some = pinned(_cells(classes, similarity, block).groupBy("to", "x", "y").applyInPandas(candidates, "id long").distinct())
+    some = pinned(_cells(classes, similarity, block, 0.5).groupBy("to", "x", "y").applyInPandas(candidates, "id long").distinct())
     few = some.count() <= 500_000  # 8 bytes each
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some) if few else some, "id", "left_semi")
 
@@ -304,8 +333,8 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
             while len(left):
                 while (root[root] != root).any():
                     root = root[root]
-                apart = root[left] != root[right]  # a pair whose ends are joined already needs no look
-                left, right = left[apart], right[apart]
+                open_ = root[left] != root[right]  # a pair whose ends are joined already needs no look
+                left, right = left[open_], right[open_]
                 for i, j in zip(left[:CHUNK].tolist(), right[:CHUNK].tolist(), strict=True):
                     p, q = int(root[i]), int(root[j])
                     while p != root[p]:
@@ -320,8 +349,8 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
                 left, right = left[CHUNK:], right[CHUNK:]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    rows = classes.join(held, "id").select("n", "id", "a", "b", "shingles")
-    return _cells(rows, similarity, verified).groupBy("to", "x", "y").applyInPandas(verify, "u long, v long")
+    rows = classes.join(held, "id").select("n", "id", "odd", "shingles")
+    return _cells(rows, similarity, verified, 8.5).groupBy("to", "x", "y").applyInPandas(verify, "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -89,6 +89,32 @@ def test_similar_documents(docs, corpus, verified):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 2
 
 
+def test_similar_documents_of_every_size(docs, prose):
+    """Pairs at exactly 0.8, of 4 m and 5 m shingles, for small and larger m."""
+    rows = []
+    for m in [m for m in range(1, 31) for _ in range(40)] + [100, 300]:
+        words = prose(5 * m + 4).split()
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[m:] if len(rows) % 4 else words[:-m]))]
+    rows.append((len(rows), " ".join(rows[0][1].split()[:7])))  # 3 of 4 or 5: below
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows if (w := t.split())}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    pairs = [i for i in range(0, len(rows) - 1, 2) if alike(sets[i], sets[i + 1])]
+    assert len(pairs) > 1100
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(rows)).collect()}
+    assert [i for i in pairs if got[i] != got[i + 1]] == [] and got[len(rows) - 1] == len(rows) - 1
+
+
+def test_odd_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 5000):
+        h = np.unique(rng.integers(0, 1 << 63, n + n // 5, dtype=np.uint64))
+        a, b = h[: len(h) - n // 5], h[n // 5 :]
+        bits = simhash.width(n, 0.8)
+        x, y = simhash.odd_sketch(a, bits), simhash.odd_sketch(b, bits)
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+        assert (simhash.folded(x[None], len(x) // 2)[0] == simhash.odd_sketch(a, bits // 2)).all()
+
+
 def test_similar_documents_of_nothing(docs):
     assert simhash.similar_documents(docs([])).count() == simhash.near_duplicates(docs([])).count() == 0
     assert simhash.drop_near_duplicates(docs([(1, None), (2, "")])).count() == 1
