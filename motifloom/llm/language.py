@@ -13,11 +13,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifloom.llm.common import pinned
+
 DIMENSIONS = 4096
-#: So many texts at most are the sample that a model is fitted on, in equal parts by language.
+#: So many distinct texts at most (one a language at least) are the sample that centroids are fitted on, in equal parts by language.
 SAMPLE = 4_000
 CENTROIDS = 4
 UNKNOWN = "und"
@@ -79,26 +81,53 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, reject_part: float = 0.01) -> Model:
-    """A model from docs (text, lang); null texts and langs are left out. reject_part of a language's sample would be rejected."""
+    """A model from docs (text, lang); null texts and langs are left out. Document frequencies are of all rows, centroids of
+    the sample. reject_part of a language's sample would be rejected."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    if not n:
+    each = max(1, sample // max(1, rows.select("lang").distinct().count()))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The documents with each n-gram, all documents at -1, and each language's least hashes of distinct texts."""
+        df, n, least = np.zeros(DIMENSIONS, np.int64), 0, {}
+        for b in batches:
+            for lang, h, text in zip(b["lang"].array, b["h"].to_numpy(), b["text"].array, strict=True):
+                c = gram_counts(text)
+                if c is None:
+                    continue
+                df += c > 0
+                n += 1
+                least.setdefault(lang, set()).add(int(h))
+            least = {lang: set(sorted(hs)[:each]) for lang, hs in least.items()}
+        yield pd.DataFrame({"i": np.arange(-1, DIMENSIONS), "n": np.append(n, df), "lang": None, "h": 0})
+        yield pd.DataFrame([(-2, 0, lang, h) for lang, hs in least.items() for h in hs], columns=["i", "n", "lang", "h"])
+
+    told = pinned(rows.mapInPandas(tally, "i int, n long, lang string, h long"))
+    total = {r["i"]: r["n"] for r in told.where("i >= -1").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # DIMENSIONS rows and one
+    if not total.get(-1):
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(0))
-    each = max(1, sample // len(n))
-    share = F.create_map(*(F.lit(v) for lang, m in n.items() for v in (lang, min(1.0, each / m))))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    idf = np.log((1 + total[-1]) / (1 + np.array([total[i] for i in range(DIMENSIONS)]))).astype(np.float32) + 1
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = told.where("i = -2").select("lang", "h").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("lang", "h")
+    picked = rows.join(F.broadcast(pinned(chosen)), ["lang", "h"])  # each texts a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for b in batches:
-            got = [(lang, c) for lang, c in zip(b["lang"].array, map(gram_counts, b["text"].array), strict=True) if c is not None]
-            at = [np.flatnonzero(c) for _, c in got]
-            yield pd.DataFrame({"lang": [lang for lang, _ in got], "i": [i.astype(np.int16) for i in at], "c": [c[i].astype(np.int32) for i, (_, c) in zip(at, got, strict=True)]})
-
-    got = picked.mapInPandas(count, "lang string, i array<smallint>, c array<int>").toPandas()
+            got = []
+            for lang, h, text in zip(b["lang"].array, b["h"].to_numpy(), b["text"].array, strict=True):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    c = gram_counts(text)
+                    at = np.flatnonzero(c)
+                    got.append((lang, h, at.astype(np.int16), c[at].astype(np.int32)))
+            yield pd.DataFrame(got, columns=["lang", "h", "i", "c"])
+
+    got = picked.mapInPandas(count, "lang string, h long, i array<smallint>, c array<int>").dropDuplicates(["lang", "h"]).toPandas()
+    got = got.sort_values(["lang", "h"])
     counts = np.zeros((len(got), DIMENSIONS), np.int32)
     for row, (i, c) in enumerate(zip(got["i"], got["c"], strict=True)):
         counts[row, np.asarray(i, np.int64)] = c
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
     x, lang = vectors(counts, idf), got["lang"].to_numpy()
     langs, cents, least = [], [], []
     for one in sorted(set(lang)):

@@ -178,6 +178,15 @@ def test_languages(spark, docs):
     assert [r["nearest"] for r in language.identify(spark.createDataFrame(odd[:1], df.schema), none).collect()] == ["und"]
 
 
+def test_language_counts_all_and_samples_distinct(spark, prose):
+    rows = [(prose(6), "a") for _ in range(200)] + [("weiß und süß", "b")] * 300 + [("123", "c"), (None, "a"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = language.fit(df, sample=30)
+    has = [language.gram_counts(t) > 0 for t, lang in rows if t and lang and t != "123"]
+    want = np.log((1 + len(has)) / (1 + np.sum(has, axis=0))).astype(np.float32) + 1
+    assert np.allclose(model.idf, want) and set(model.langs) == {"a", "b"} and model.langs.count("b") == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, name):
