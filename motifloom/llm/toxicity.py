@@ -52,10 +52,11 @@ def _sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """feature, p, u: the confirmed and the unlabelled documents that have it."""
+    """feature, p, u: the confirmed and all rows (text, confirmed) that have it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         has: tuple[Counter, Counter] = (Counter(), Counter())
+        known: dict[str, list[str]] = {}
 
         def flush() -> pd.DataFrame:
             both = sorted(has[0].keys() | has[1].keys())
@@ -65,8 +66,18 @@ def _counted(rows: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for text, positive in zip(b["text"].array, b["positive"].array, strict=True):
-                has[not positive].update({f for w in words_of(text) for f in features_of(w)})
+            for text, confirmed in zip(b["text"].array, b["confirmed"].array, strict=True):
+                own: set[str] = set()
+                for w in words_of(text):
+                    got = known.get(w)
+                    if got is None:
+                        if len(known) > 100_000:
+                            known.clear()
+                        got = known[w] = features_of(w)
+                    own.update(got)
+                has[1].update(own)
+                if confirmed:
+                    has[0].update(own)
                 if len(has[0]) + len(has[1]) > 400_000:
                     yield flush()
         yield flush()
@@ -115,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
     """A model from docs (doc_id, text) and labels (doc_id, toxic) of the rows to learn from.
 
     Confirmed are the documents with label 1; all documents, whatever their label, are the unlabelled. The prior is the
-    part of label 1 among labels. Null texts, ids and labels are left out. Without a confirmed document the model gives 0 to all.
+    part of label 1 among labels. Features are counted and chosen over all of both; the optimiser sees a sample. Null texts, ids and labels are left out. Without a confirmed document the model gives 0 to all.
     """
     own = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -126,14 +137,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
     picked = confirmed.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
     # the sample's size bounds what is broadcast; texts are not shuffled
     rows = own.join(F.broadcast(pinned(picked)), "doc_id").select("text", "positive")
-    n = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(True) or not n.get(False):
+    # features are counted over every document, not over the sample
+    toxic = pinned(marks.where("toxic = 1").select(F.col("doc_id").alias("_toxic")))
+    few = toxic.count() <= 500_000  # 8 bytes each
+    every = own.join(F.broadcast(toxic) if few else toxic, F.col("doc_id") == F.col("_toxic"), "left").select("text", F.col("_toxic").isNotNull().alias("confirmed"))
+    n = every.agg(F.count_if("confirmed").alias("p"), F.count(F.lit(1)).alias("u")).first()
+    n = {True: n["p"], False: n["u"]}
+    if not n[True]:
         return Model({}, np.zeros(0, np.float32), -30.0)
     # what tells confirmed from unlabelled best: the difference of the two rates against its deviation
     p, u = F.col("p") / n[True], F.col("u") / n[False]
     mean = (F.col("p") + F.col("u")) / (n[True] + n[False])
     z = (p - u) / F.sqrt((mean * (1 - mean) + F.lit(1.0 / (n[True] + n[False]))) * (1.0 / n[True] + 1.0 / n[False]))
-    best = _counted(rows).where("p + u >= 3").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(n_features).collect()
+    best = _counted(every).where("p + u >= 3").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(n_features).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -162,6 +162,14 @@ def test_toxicity(spark, docs, prose):
     assert toxicity.scores(docs(rows[:3]), nothing).agg(F.max("score")).first()[0] < 0.01
 
 
+def test_toxicity_counts_features_over_all(spark, docs, prose):
+    rows, labels = toxic_corpus(prose)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    every = toxicity.fit(docs(rows), marks)
+    some = toxicity.fit(docs(rows), marks, sample_positive=2, sample_unlabelled=4)
+    assert len(every.features) > 0 and some.features == every.features
+
+
 def test_languages(spark, docs):
     said = {"en": "the cat and the dog went with their other things to this place", "de": "der hund und die katze sind nicht auf der straße für das schöne haus", "fr": "le chien et les chats étaient à la maison où ça leur plaît déjà"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(t.split())[:9]), lang) for i, (lang, t) in enumerate(said.items())]
