@@ -216,6 +216,11 @@ def folded(x: np.ndarray, words: int) -> np.ndarray:
     return x if x.shape[1] == words else np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1)
 
 
+def digest(words: list[str]) -> np.ndarray:
+    """128 bits of the words as two unsigned numbers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), np.uint64)
+
+
 def sketches(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Of each row of docs (doc_id, text): its number of distinct k-word shingles, their odd sketch and 128 bits of its words."""
 
@@ -225,8 +230,7 @@ def sketches(docs: DataFrame, k: int, similarity: float) -> DataFrame:
             for row, text in enumerate(x["text"].array):
                 words = words_of(text)
                 h = np.unique(shingle_hashes(words, k))
-                whole = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                out[:, row] = len(h), *np.frombuffer(whole, np.uint64)
+                out[:, row] = len(h), *digest(words)
                 odd.append(odd_sketch(h, width(len(h), similarity)).tobytes())
             n, w1, w2 = out.view(np.int64)
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n": n, "odd": odd, "w1": w1, "w2": w2})
@@ -293,17 +297,29 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, bloc
     Odd sketches find the candidates by tiled comparison; their shingles decide. Sketches differ in no more bits than the sets in
     shingles, so no pair is left out, whatever its length. Texts of equal words, also of none, are one class. Rows with a null doc_id have component null.
     """
+    rows, found = _classified(docs, k, similarity, block, verified)
+    return _with_class(rows, found).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _classified(docs: DataFrame, k: int, similarity: float, block: int, verified: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of docs, and of each class of equal words (_w1, _w2) its component and the least doc_id of that."""
     rows = pinned(sketches(docs, k, similarity))
-    same = ["w1", "w2"]
-    classes = rows.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("odd").alias("odd"))
-    classes = pinned(classes)
+    same = rows.where("doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.first("odd").alias("odd"))
+    # a number of its own for each class: rows of one doc_id may have different texts
+    classes = pinned(same.withColumn("id", F.monotonically_increasing_id()))
     if not classes.where("n > 0").take(1):
         near = rows.sparkSession.createDataFrame([], "u long, v long")
     else:
-        near = _verified(docs, classes.where("n > 0").select("n", "id", "odd"), k, similarity, block, verified)
+        near = _verified(docs, classes.where("n > 0"), k, similarity, block, verified)
     roots = connected_components(near)
-    found = classes.join(roots, classes["id"] == roots["node"], "left").select(*(F.col(c).alias(f"_{c}") for c in same), F.coalesce("component", "id").alias("component_id"))
-    return rows.join(found, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")), "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    joined = classes.join(roots, classes["id"] == roots["node"], "left").select("w1", "w2", "low", F.coalesce("component", "id").alias("component"))
+    joined = pinned(joined)
+    least = joined.groupBy(F.col("component").alias("_c")).agg(F.min("low").alias("component_id"))
+    return rows, joined.join(least, F.col("component") == F.col("_c")).select(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"), "component", "component_id")
+
+
+def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")), "left").drop("_w1", "_w2")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, block: int, verified: int) -> DataFrame:
@@ -316,15 +332,19 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
             hit[i] = hit[j] = True
         return pd.DataFrame({"id": x["id"].to_numpy()[hit]})
 
-    some = pinned(_cells(classes, similarity, block, 0.5).groupBy("to", "x", "y").applyInPandas(candidates, "id long").distinct())
-    few = some.count() <= 500_000  # 8 bytes each
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some) if few else some, "id", "left_semi")
+    some = pinned(_cells(classes.select("n", "id", "odd"), similarity, block, 0.5).groupBy("to", "x", "y").applyInPandas(candidates, "id long").distinct())
+    chosen = classes.join(some, "id")
+    lows = pinned(chosen.select("low").distinct())
+    few = lows.count() <= 500_000  # 8 bytes each
+    picked = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(F.broadcast(lows) if few else lows, "low", "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"id": x["id"], "shingles": [np.unique(shingle_hashes(words_of(t), k)).tobytes() for t in x["text"].array]})
+            words = [words_of(t) for t in x["text"].array]
+            w = np.array([digest(v) for v in words], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1], "shingles": [np.unique(shingle_hashes(v, k)).tobytes() for v in words]})
 
-    held = picked.mapInPandas(sets, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
+    held = picked.mapInPandas(sets, "w1 long, w2 long, shingles binary").groupBy("w1", "w2").agg(F.min("shingles").alias("shingles"))
 
     def verify(x: pd.DataFrame) -> pd.DataFrame:
         ids, shingles = x["id"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in x["shingles"]]
@@ -349,18 +369,30 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
                 left, right = left[CHUNK:], right[CHUNK:]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    rows = classes.join(held, "id").select("n", "id", "odd", "shingles")
+    rows = chosen.join(held, ["w1", "w2"]).select("n", "id", "odd", "shingles")
     return _cells(rows, similarity, verified, 8.5).groupBy("to", "x", "y").applyInPandas(verify, "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each component of similar_documents: that of the smallest doc_id, of equal ids the first by text.
-    Rows with a null doc_id stay."""
-    found = pinned(similar_documents(docs, k, similarity))
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    Rows of one doc_id with texts that aren't similar are apart. Rows with a null doc_id stay."""
+    rows, found = _classified(docs, k, similarity, BLOCK, VERIFIED)
+    found = pinned(found)
+    each = pinned(_with_class(rows.where("doc_id is not null"), found).select("doc_id", "component_id"))
+    many = pinned(each.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many")))
+    gone = each.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).unionByName(many.select(F.col("_many").alias("_gone"))).distinct()
+    gone = pinned(gone)
     kept = docs.join(F.broadcast(gone) if gone.count() <= 500_000 else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").take(1):
+    n_many = many.count()
+    if not n_many:
         return kept
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = kept.where("doc_id is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return first.unionByName(kept.where("doc_id is null"))
+
+    @F.pandas_udf("w1 long, w2 long")
+    def words_digest(texts: pd.Series) -> pd.DataFrame:
+        w = np.array([digest(words_of(t)) for t in texts.array], np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1]})
+
+    again = docs.join(F.broadcast(many) if n_many <= 500_000 else many, F.col("doc_id") == F.col("_many")).withColumn("_d", words_digest("text"))
+    again = again.join(found, (F.col("_d.w1") == F.col("_w1")) & (F.col("_d.w2") == F.col("_w2"))).where(F.col("doc_id") == F.col("component_id"))
+    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("component").orderBy("text"))).where("_n = 1")
+    return kept.unionByName(first.select(*docs.columns))

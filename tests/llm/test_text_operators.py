@@ -104,6 +104,15 @@ def test_similar_documents_of_every_size(docs, prose):
     assert [i for i in pairs if got[i] != got[i + 1]] == [] and got[len(rows) - 1] == len(rows) - 1
 
 
+def test_near_duplicates_of_repeated_ids(docs, prose):
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(1, a), (5, a + " more"), (5, b), (6, b + " more"), (7, c), (7, d), (8, d + " more"), (7, d)]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(docs(rows)).collect()}
+    assert got == {(1, 1), (5, 1), (5, 5), (6, 5), (7, 7), (8, 7)}
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs(rows)).collect())
+    assert kept == sorted([(1, a), (5, b), (7, c), (7, d)])
+
+
 def test_odd_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for n in (1, 5, 40, 300, 5000):
