@@ -7,6 +7,7 @@ greatest cosine is predicted; a text that is farther from it than nearly all of
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -27,7 +28,7 @@ UNKNOWN = "und"
 
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x30000)])
+    return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
 
 
 def gram_counts(text: str | None) -> np.ndarray | None:
@@ -36,17 +37,17 @@ def gram_counts(text: str | None) -> np.ndarray | None:
         return None
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     table = letter_table()
-    letter = table[np.minimum(codes, len(table) - 1)]
+    letter = table[codes]
     if not letter.any():
         return None
     c = np.where(letter, codes, 32).astype(np.uint64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first space after a letter
-    c = np.concatenate((np.array([32], np.uint64), c[keep], np.array([32], np.uint64)))
+    c = np.concatenate((np.array([32], np.uint64), c[keep], np.array([32][: int(letter[-1])], np.uint64)))
     k = np.uint64(0x9E3779B97F4A7C15)
     put = lambda h: ((h * k) >> np.uint64(52)).astype(np.int64)
-    two = (c[:-1] << np.uint64(18)) | c[1:]
-    three = ((two[:-1] << np.uint64(18)) | c[2:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    two = (c[:-1] << np.uint64(21)) | c[1:]
+    three = ((two[:-1] << np.uint64(21)) | c[2:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     one = c[c != 32]
     return np.bincount(np.concatenate((put(one), put(two ^ (two >> np.uint64(20))), put(three ^ (three >> np.uint64(29))))), minlength=DIMENSIONS)
 
@@ -81,8 +82,10 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, reject_part: float = 0.01) -> Model:
-    """A model from docs (text, lang); null texts and langs are left out. Document frequencies are of all rows, centroids of
-    the sample. reject_part of a language's sample would be rejected."""
+    """A model from docs (text, lang); null texts and langs, and texts without a letter, are left out. Document frequencies are of
+    all rows, centroids of the sample: at most sample distinct texts (one a language at least), those of the least hashes, so that
+    copies of a text are one. reject_part of a language's sample would be rejected. No row to learn from: a model without a language.
+    Extra columns are ignored."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     each = max(1, sample // max(1, rows.select("lang").distinct().count()))
     rows = rows.withColumn("h", F.xxhash64("text"))
@@ -121,7 +124,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, rejec
                     c = gram_counts(text)
                     at = np.flatnonzero(c)
                     got.append((lang, h, at.astype(np.int16), c[at].astype(np.int32)))
-            yield pd.DataFrame(got, columns=["lang", "h", "i", "c"])
+            if got:  # an empty frame has no type for its lists
+                yield pd.DataFrame(got, columns=["lang", "h", "i", "c"])
 
     got = picked.mapInPandas(count, "lang string, h long, i array<smallint>, c array<int>").dropDuplicates(["lang", "h"]).toPandas()
     got = got.sort_values(["lang", "h"])
@@ -144,7 +148,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with columns nearest (the language of the nearest centroid), lang_score (its cosine), rejected (bool) and lang_pred (nearest, or und where rejected).
 
     A null text, or one without a letter, has nearest und, lang_score 0 and rejected true; so have all texts if the model
-    has no language. Columns of these names are replaced. Empty table: no rows.
+    has no language. Of languages with equal cosines the first by name is predicted. Repeated rows are all returned; columns of
+    these names are replaced. Empty table: no rows.
     """
     docs = docs.drop("nearest", "lang_score", "rejected", "lang_pred")
     names = np.array([*model.langs, UNKNOWN], object)
