@@ -46,13 +46,17 @@ class Model(NamedTuple):
     bias: float
 
 
-def _sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """most ids at most, those of the least hashes."""
-    return ids.distinct().withColumn("h", F.xxhash64("doc_id", F.lit(seed))).orderBy("h", "doc_id").limit(most).select("doc_id")
+#: Counted as a feature of every document.
+ALL = ""
+
+
+def _sampled(keys: DataFrame, most: int, seed: int) -> DataFrame:
+    """most distinct keys (doc_id, h) at most, those of the least hashes."""
+    return keys.select("doc_id", "h").distinct().withColumn("order", F.xxhash64("doc_id", "h", F.lit(seed))).orderBy("order", "doc_id", "h").limit(most).select("doc_id", "h")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """feature, p, u: the confirmed and all rows (text, confirmed) that have it."""
+    """feature, p, u: the confirmed and all rows (text, confirmed) that have it; the feature ALL counts the rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         has: tuple[Counter, Counter] = (Counter(), Counter())
@@ -67,7 +71,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, confirmed in zip(b["text"].array, b["confirmed"].array, strict=True):
-                own: set[str] = set()
+                own: set[str] = {ALL}
                 for w in words_of(text):
                     got = known.get(w)
                     if got is None:
@@ -82,7 +86,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return rows.mapInPandas(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    return rows.select("text", "confirmed").mapInPandas(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
 def _vector(index: dict[str, int], known: dict[str, tuple[int, ...]], text: str | None) -> tuple[list[int], list[float]]:
@@ -99,22 +103,30 @@ def _vector(index: dict[str, int], known: dict[str, tuple[int, ...]], text: str
     return list(got), [1.0 + float(np.log(n)) for n in got.values()]
 
 
+def pu_risk(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray, float]:
+    """The non-negative PU risk (without the decay) of a linear model with logistic loss, and the direction of descent of weights
+    and bias: the gradient, or where the risk of the negatives is below 0, that which raises it again."""
+    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    gp, gu = xp @ w + b, xu @ w + b
+    sp, su = sigmoid(gp), sigmoid(gu)
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    risk = prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)
+    # the derivatives of l(g) = log(1 + exp(-g)) and of l(-g) by g
+    dp_neg, du_neg = prior * sp / len(xp), su / len(xu)
+    if negative >= 0:
+        dp, du = prior * (sp - 1) / len(xp) - dp_neg, du_neg
+    else:  # the risk of the negatives is overfitted: step back
+        dp, du = dp_neg, -du_neg
+    return float(risk), xp.T @ dp + xu.T @ du + decay * w, float(dp.sum() + du.sum())
+
+
 def nn_pu_fit(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model with logistic loss, by Adam on the non-negative PU risk of confirmed xp and unlabelled xu."""
     w, b = np.zeros(xp.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
-    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
     for t in range(1, steps + 1):
-        gp, gu = xp @ w + b, xu @ w + b
-        sp, su = sigmoid(gp), sigmoid(gu)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # the derivatives of l(g) = log(1 + exp(-g)) and of l(-g) by g
-        dp_neg, du_neg = prior * sp / len(xp), su / len(xu)
-        if negative >= 0:
-            dp, du = prior * (sp - 1) / len(xp) - dp_neg, du_neg
-        else:  # the risk of the negatives is overfitted: step back
-            dp, du = dp_neg, -du_neg
-        grad = np.append(xp.T @ dp + xu.T @ du + decay * w, dp.sum() + du.sum()).astype(np.float32)
+        _, dw, db = pu_risk(w, b, xp, xu, prior, decay)
+        grad = np.append(dw, db).astype(np.float32)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -126,39 +138,50 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
     """A model from docs (doc_id, text) and labels (doc_id, toxic) of the rows to learn from.
 
     Confirmed are the documents with label 1; all documents, whatever their label, are the unlabelled. The prior is the
-    part of label 1 among labels. Features are counted and chosen over all of both; the optimiser sees a sample. Null texts, ids and labels are left out. Without a confirmed document the model gives 0 to all.
+    part of label 1 among the labels of docs, held between 0.001 and 0.9. Features are counted and chosen over all of both; the
+    optimiser sees a sample of at most sample_positive and sample_unlabelled rows, those of the least hashes, where rows of equal
+    doc_id and text are one. Null texts, ids and labels are left out; of several labels of an id the greatest counts. Without a
+    confirmed document the model gives 0 to all. Extra columns are ignored.
     """
     own = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = marks.join(own.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg("toxic")).first()[0] or 0.0
-    ids = own.select("doc_id")
-    confirmed = _sampled(ids.join(marks.where("toxic = 1"), "doc_id", "left_semi"), sample_positive, 1)
-    unlabelled = _sampled(ids, sample_unlabelled, 2)
-    picked = confirmed.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
-    # the sample's size bounds what is broadcast; texts are not shuffled
-    rows = own.join(F.broadcast(pinned(picked)), "doc_id").select("text", "positive")
-    # features are counted over every document, not over the sample
     toxic = pinned(marks.where("toxic = 1").select(F.col("doc_id").alias("_toxic")))
     few = toxic.count() <= 500_000  # 8 bytes each
-    every = own.join(F.broadcast(toxic) if few else toxic, F.col("doc_id") == F.col("_toxic"), "left").select("text", F.col("_toxic").isNotNull().alias("confirmed"))
-    n = every.agg(F.count_if("confirmed").alias("p"), F.count(F.lit(1)).alias("u")).first()
-    n = {True: n["p"], False: n["u"]}
-    if not n[True]:
+    every = own.join(F.broadcast(toxic) if few else toxic, F.col("doc_id") == F.col("_toxic"), "left").select("doc_id", "text", F.col("_toxic").isNotNull().alias("confirmed"))
+    # features are counted over every document, not over the sample
+    counted = pinned(_counted(every))
+    n = counted.where(F.col("feature") == ALL).select("p", "u").first()
+    if n is None or not n["p"]:
         return Model({}, np.zeros(0, np.float32), -30.0)
     # what tells confirmed from unlabelled best: the difference of the two rates against its deviation
-    p, u = F.col("p") / n[True], F.col("u") / n[False]
-    mean = (F.col("p") + F.col("u")) / (n[True] + n[False])
-    z = (p - u) / F.sqrt((mean * (1 - mean) + F.lit(1.0 / (n[True] + n[False]))) * (1.0 / n[True] + 1.0 / n[False]))
-    best = _counted(every).where("p + u >= 3").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(n_features).collect()
-    index = {r["feature"]: i for i, r in enumerate(best)}
+    p, u = F.col("p") / n["p"], F.col("u") / n["u"]
+    mean = (F.col("p") + F.col("u")) / (n["p"] + n["u"])
+    z = (p - u) / F.sqrt((mean * (1 - mean) + F.lit(1.0 / (n["p"] + n["u"]))) * (1.0 / n["p"] + 1.0 / n["u"]))
+    best = counted.where((F.col("feature") != ALL) & (F.col("p") + F.col("u") >= 3)).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z)
+    index = {r["feature"]: i for i, r in enumerate(best.orderBy(F.desc("z"), "feature").limit(n_features).collect())}
+
+    keys = every.select("doc_id", F.xxhash64("text").alias("h"), "confirmed")
+    confirmed, unlabelled = _sampled(keys.where("confirmed"), sample_positive, 1), _sampled(keys, sample_unlabelled, 2)
+    picked = pinned(confirmed.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False))))
+    # the sample's size bounds what is broadcast; texts are not shuffled
+    rows = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "h"])
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, ...]] = {}
+        seen: set[tuple] = set()  # as many as the sample at most
         for b in batches:
-            got = [_vector(index, known, t) for t in b["text"].array]
-            yield pd.DataFrame({"positive": b["positive"], "i": [np.array(i, np.int32) for i, _ in got], "v": [np.array(v, np.float32) for _, v in got]})
-
-    sample = rows.mapInPandas(vectorise, "positive boolean, i array<int>, v array<float>").toPandas()
+            got = []
+            for doc_id, h, positive, text in zip(b["doc_id"].array, b["h"].array, b["positive"].array, b["text"].array, strict=True):
+                if (doc_id, h, positive) not in seen:
+                    seen.add((doc_id, h, positive))
+                    i, v = _vector(index, known, text)
+                    got.append((doc_id, h, positive, np.array(i, np.int32), np.array(v, np.float32)))
+            if got:  # an empty frame has no type for its lists
+                yield pd.DataFrame(got, columns=["doc_id", "h", "positive", "i", "v"])
+
+    vectors = rows.mapInPandas(vectorise, "doc_id long, h long, positive boolean, i array<int>, v array<float>")
+    sample = vectors.dropDuplicates(["doc_id", "h", "positive"]).toPandas().sort_values(["positive", "doc_id", "h"])
 
     def dense(some: pd.DataFrame) -> np.ndarray:
         x = np.zeros((len(some), len(index)), np.float32)
@@ -172,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1); null and empty texts score as texts without any feature. A column score is replaced."""
+    """docs with score (0 to 1); null and empty texts score as texts without any feature. Repeated rows score alike. A column score is
+    replaced; other columns stay. Empty table: no rows."""
     docs = docs.drop("score")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
