@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all run on one machine, one of our own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="motifloom-"))
     return os.path.dirname(sc.getCheckpointDir())
 
@@ -55,22 +58,43 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
+#: So many ranges at most have their split points from quantiles; more divide these evenly.
+COARSE = 1 << 15
+#: Quantiles are of about so many keys at most.
+SAMPLED = 4_000_000
+
+
 def range_buckets(df: DataFrame, key: str, out: str, n: int) -> DataFrame:
     """df with a column out (int): the range of key that the row lies in, ascending, about n ranges of equal weight.
 
-    Equal keys share a bucket; null keys form the last one. The split points (at most n numbers) come from
-    a quantile sketch, so that the ranges hold for any distribution of ids.
+    Equal keys share a bucket; null keys form the last one. Up to COARSE ranges end at quantiles of the keys (of a sample by hash,
+    where there are over SAMPLED), so that they hold for any distribution of ids; if n is greater each is divided evenly between its ends.
+    Only the weight of the ranges depends on the sample. df must not have columns out__key, out__b, out__lo, out__hi.
     """
-    n = max(2, min(n, 100_000))
-    probs = [i / n for i in range(1, n)]
-    got = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, max(10_000, 10 * n)).alias("q")).first()["q"] or []
-    splits = sorted(set(got))
+    coarse = max(2, min(n, COARSE))
+    fine = -(-n // coarse)
+    k = F.col(key).cast("double")
+    total = df.agg(F.count(key)).first()[0]
+    keys = df.select(k.alias("_k"), F.xxhash64(key, F.lit(7)).alias("_h")).where("_k is not null")
+    if total > SAMPLED:
+        keys = keys.where(F.pmod("_h", F.lit(1 << 30)) < int(SAMPLED / total * (1 << 30)))
+    got = keys.agg(F.percentile_approx("_k", [i / coarse for i in range(1, coarse)], 10 * max(1_000, coarse)).alias("q"), F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
+    splits = sorted(set(got["q"] or []))
     if not splits:
         return df.withColumn(out, F.lit(0))
     bounds = [float("-inf"), *splits, float("inf")]
     put = Bucketizer(splits=bounds, inputCol=f"{out}__key", outputCol=f"{out}__b", handleInvalid="keep")
-    got = put.transform(df.withColumn(f"{out}__key", F.col(key).cast("double")))
-    return got.withColumn(out, F.coalesce(F.col(f"{out}__b").cast("int"), F.lit(len(bounds)))).drop(f"{out}__key", f"{out}__b")
+    placed = put.transform(df.withColumn(f"{out}__key", k)).withColumn(f"{out}__b", F.col(f"{out}__b").cast("int"))
+    at = F.col(f"{out}__b")
+    if fine > 1:
+        ends = [min(got["lo"], splits[0]), *splits, max(got["hi"], splits[-1])]
+        rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(ends, ends[1:], strict=False))]  # COARSE rows at most
+        ends = F.broadcast(df.sparkSession.createDataFrame(rows, f"{out}__r int, {out}__lo double, {out}__hi double"))
+        placed = placed.join(ends, at == F.col(f"{out}__r"), "left").drop(f"{out}__r")
+        lo, hi = F.col(f"{out}__lo"), F.col(f"{out}__hi")
+        part = F.when(hi > lo, F.floor((F.col(f"{out}__key") - lo) / (hi - lo) * fine)).otherwise(F.lit(0))
+        at = at * fine + F.greatest(F.lit(0), F.least(part, F.lit(fine - 1)))
+    return placed.withColumn(out, F.coalesce(at.cast("int"), F.lit(len(bounds) * fine))).drop(f"{out}__key", f"{out}__b", f"{out}__lo", f"{out}__hi")
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

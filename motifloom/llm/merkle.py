@@ -1,10 +1,14 @@
 """Document fingerprints: a Merkle tree over blocks of words, paragraphs and sections.
 
-A text is cut losslessly: paragraphs at newlines, words at single spaces; a paragraph's blocks hold 1, 1, 2, 4 and 8 words
-and then 16 each. A leaf is a block's digest. A section ends after a paragraph whose own digest says so, one in
-four, so that an edit moves no boundary but its own. A section's node is the SHA-256 of its leaves in their paragraphs, the
-root that of the sections' nodes. A fingerprint is root:leaves, with "," between leaves, "." after a paragraph
-and "|" after a section's last; equal roots mean equal texts, and where branches differ the texts do.
+A text is cut losslessly: paragraphs at newlines, words at single spaces. A paragraph's blocks are cut by content: one word
+in four begins a block, as the MD5 of the word and the one before says, so that an edit moves no cut but those beside it; only a
+block of over 64 words is cut again each 64 words. A leaf is a block's SHA-256, a paragraph's node that of its leaves, a section's
+node that of its paragraphs' nodes, and the root that of the sections' nodes; a section ends after a paragraph whose node says so, one in
+four. All these are whole digests, so equal roots mean equal texts, and where branches differ the texts do.
+
+A fingerprint is root:sections, with "|" between sections; a section is node=paragraphs, with "." after each paragraph; a paragraph is
+node-leaves, with "," between leaves. Below the root, 16 hex digits of a node and 8 of a leaf are shown: they serve likeness and
+the place of an edit, not equality.
 """
 
 from __future__ import annotations
@@ -14,68 +18,96 @@ from pyspark.sql import functions as F
 
 from motifloom.llm.common import partitions, range_buckets
 
-LEAF = 12
-ROOT = 64
+ROOT, NODE, LEAF = 64, 16, 8
+#: Words of a block at most.
+BLOCK = 64
 BUCKET_BYTES = 16 << 20
 
 
-def _start(j: Column) -> Column:
-    """The first word of block j."""
-    return F.when(j == 0, 0).when(j <= 5, F.pow(F.lit(2.0), j - 1).cast("int")).otherwise(16 * (j - 4))
+def _let(value: Column, of) -> Column:
+    """of(value), value computed once."""
+    return F.transform(F.array(value), of)[0]
 
 
-def _leaves(paragraph: Column) -> Column:
-    def of(words: Column) -> Column:
-        n = F.size(words)
-        blocks = F.when(n <= 16, 1 + F.ceil(F.log2(n.cast("double"))).cast("int")).otherwise(5 + F.ceil((n - 16) / F.lit(16)).cast("int"))
-        block = lambda j: F.array_join(F.slice(words, _start(j) + 1, _start(j + 1) - _start(j)), " ")
-        return F.array_join(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.substring(F.md5(block(j)), 1, LEAF)), ",")
+def _blocks(words: Column) -> Column:
+    n = F.size(words)
+    new = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.md5(F.concat(words[i - 1], F.lit(" "), words[i])) < "4")
+    starts = F.concat(F.array(F.lit(0)), F.when(n > 1, new).otherwise(F.array().cast("array<int>")))
+    join = lambda part: F.array_join(part, " ")
 
-    # the words are computed once: they are the only element of an array
-    return F.transform(F.array(F.split(paragraph, " ", -1)), of)[0]
+    def cut(b: Column) -> Column:
+        again = F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / F.lit(BLOCK)).cast("int")), lambda t: join(F.slice(b, t * BLOCK + 1, BLOCK)))
+        return F.when(F.size(b) <= BLOCK, F.array(join(b))).otherwise(again)
+
+    parts = _let(starts, lambda at: F.transform(at, lambda s, j: F.slice(words, s + 1, F.coalesce(F.get(at, j + 1), n) - s)))
+    return F.flatten(F.transform(parts, cut))
+
+
+def _paragraph(paragraph: Column) -> Column:
+    """The whole node, and what the fingerprint shows, each with its separator."""
+    leaves = F.transform(_let(F.split(paragraph, " ", -1), _blocks), lambda b: F.sha2(b, 256))
+
+    def of(own: Column) -> Column:
+        return F.struct(F.sha2(F.array_join(own, ""), 256).alias("node"), F.array_join(F.transform(own, lambda x: F.substring(x, 1, LEAF)), ",").alias("leaves"))
+
+    def ended(p: Column) -> Column:
+        end = F.when(p["node"] < "4", "|").otherwise(".")
+        return F.struct(F.concat(p["node"], end).alias("node"), F.concat(F.substring(p["node"], 1, NODE), F.lit("-"), p["leaves"], end).alias("shown"))
+
+    return _let(_let(leaves, of), ended)
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; a null text counts as an empty one."""
-    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    ended = lambda leaves: F.concat(leaves, F.when(F.substring(F.md5(leaves), 1, 1) < "4", "|").otherwise("."))
-    tree = F.array_join(F.transform(F.transform(paragraphs, _leaves), ended), "")
+    paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), _paragraph)
 
-    def rooted(tree: Column) -> Column:
-        nodes = F.transform(F.split(tree, r"\|", -1), lambda s: F.sha2(s, 256))
-        return F.concat(F.sha2(F.array_join(nodes, ""), 256), F.lit(":"), tree)
+    def sections(p: Column) -> Column:
+        by = lambda name: F.filter(F.split(F.array_join(F.transform(p, lambda x: x[name]), ""), r"\|", -1), lambda s: s != "")
+        return F.struct(F.transform(by("node"), lambda s: F.sha2(s, 256)).alias("nodes"), by("shown").alias("shown"))
 
-    return F.transform(F.array(tree), rooted)[0]
+    def rooted(s: Column) -> Column:
+        shown = F.transform(s["nodes"], lambda node, i: F.concat(F.substring(node, 1, NODE), F.lit("="), s["shown"][i]))
+        return F.concat(F.sha2(F.array_join(s["nodes"], ""), 256), F.lit(":"), F.array_join(shown, "|"))
+
+    return _let(_let(paragraphs, sections), rooted)
+
+
+def _below(fp: Column) -> Column:
+    return F.substring(fp, ROOT + 2, 1 << 30)
 
 
 def leaves_of(fp: Column) -> Column:
-    return F.array_distinct(F.split(F.substring(fp, ROOT + 2, 1 << 30), "[,.|]+"))
+    return F.array_distinct(F.filter(F.split(_below(fp), "[|=.,-]"), lambda x: F.length(x) == LEAF))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, from 0 to 1: twice the leaves that both have over the leaves of either (Dice); 1 for equal roots."""
     same = F.substring(a, 1, ROOT) == F.substring(b, 1, ROOT)
+    dice = lambda x: 2.0 * F.size(F.array_intersect(x["a"], x["b"])) / (F.size(x["a"]) + F.size(x["b"]))
+    return F.when(same, 1.0).otherwise(_let(F.struct(leaves_of(a).alias("a"), leaves_of(b).alias("b")), dice))
 
-    def dice(x: Column) -> Column:
-        filled = lambda v: F.filter(v, lambda leaf: leaf != "")
-        p, q = filled(x["a"]), filled(x["b"])
-        return 2.0 * F.size(F.array_intersect(p, q)) / (F.size(p) + F.size(q))
 
-    return F.when(same, 1.0).otherwise(F.transform(F.array(F.struct(leaves_of(a).alias("a"), leaves_of(b).alias("b"))), dice)[0])
+def _differing(a: Column, b: Column, nodes) -> Column:
+    numbered = F.transform(nodes(a), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
+    return _let(nodes(b), lambda other: F.transform(F.filter(numbered, lambda x: ~F.array_contains(other, x["s"])), lambda x: x["i"]))
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """The positions (from 0) of the sections of a that b doesn't have: where a's text was edited. Empty for equal roots."""
-    sections = lambda fp: F.split(F.substring(fp, ROOT + 2, 1 << 30), r"\|", -1)
-    numbered = F.transform(sections(a), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    return F.transform(F.filter(numbered, lambda x: ~F.array_contains(sections(b), x["s"])), lambda x: x["i"])
+    """The positions (from 0) of the sections of a whose node b doesn't have: where a's text was edited. Empty for equal roots."""
+    return _differing(a, b, lambda fp: F.transform(F.split(_below(fp), r"\|", -1), lambda s: F.substring(s, 1, NODE)))
+
+
+def differing_paragraphs(a: Column, b: Column) -> Column:
+    """The positions (from 0) of the paragraphs of a whose node b doesn't have."""
+    return _differing(a, b, lambda fp: F.transform(F.filter(F.split(_below(fp), "[|=.]"), lambda s: F.substring(s, NODE + 1, 1) == "-"), lambda s: F.substring(s, 1, NODE)))
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """docs (doc_id, text and carried) with next_<column> of the document that follows in descending doc_id; the first follows the last.
 
     Documents lie in ranges of doc_id; the first of each range also goes, as a sentinel, to the range before, so
-    that each range is ordered alone. Nulls come last, equal ids in the order of text.
+    that each range is ordered alone. Nulls come last, equal ids in the order of text; the rows of one id are ordered in one task.
+    The columns mf_bucket, mf_top, mf_above, mf_b and mf_to are its own: docs must not have them.
     """
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4 * partitions(docs.sparkSession), n_bytes // BUCKET_BYTES)
@@ -98,7 +130,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs (doc_id, text).
 
     edited_text is the text with its last third, floor(n_chars / 3) code points, replaced by the first as many of the next
-    document (all of them where it has fewer). Null texts are empty; an empty table gives no rows.
+    document (all of them where it has fewer). Null texts are empty, null ids come last. Repeated rows are all returned; other columns
+    are ignored. An empty table gives no rows.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fingerprint", fingerprint(F.col("text")))
     led = with_next(own, ["text", "fingerprint"])

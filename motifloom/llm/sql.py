@@ -43,23 +43,24 @@ q AS (SELECT item_id, count(*) AS q FROM ish GROUP BY item_id),
 dsh AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s FROM dw, (SELECT DISTINCT k FROM ik) WHERE len(w) >= k)
 SELECT doc_id, item_id, count(*) / any_value(q.q) AS containment FROM dsh JOIN ish USING (k, s) JOIN q USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(q.q) >= 0.8 - 1e-9"""
 
-#: A block's first word, after the number of words in the blocks before.
-_START = "CASE WHEN {j} = 0 THEN 0 WHEN {j} <= 5 THEN CAST(2 ** ({j} - 1) AS INT) ELSE 16 * ({j} - 4) END"
-
-
 def _print(text: str, name: str) -> str:
     """CTEs that give name (doc_id, fp) for the table and column text (table.column)."""
     table, column = text.split(".")
-    start, end = _START.format(j="j"), _START.format(j="(j + 1)")
+    new = "list_concat([0], list_filter(range(1, len(w)), lambda i: md5(w[i] || ' ' || w[i + 1]) < '4'))"
+    block = "list_transform(range(1, len(firsts) + 1), lambda j: w[firsts[j] + 1 : coalesce(firsts[j + 1], len(w))])"
+    leaves = f"flatten(list_transform({block}, lambda x: list_transform(range(0, (len(x) - 1) // 64 + 1), lambda t: sha256(array_to_string(x[t * 64 + 1 : t * 64 + 64], ' ')))))"
     return f"""{name}p AS (SELECT doc_id, unnest(string_split({column}, chr(10))) AS par, generate_subscripts(string_split({column}, chr(10)), 1) AS i FROM {table}),
 {name}w AS (SELECT doc_id, i, string_split(par, ' ') AS w FROM {name}p),
-{name}b AS (SELECT *, CASE WHEN len(w) <= 16 THEN 1 + CAST(ceil(log2(len(w))) AS INT) ELSE 5 + CAST(ceil((len(w) - 16) / 16) AS INT) END AS n FROM {name}w),
-{name}l AS (SELECT doc_id, i, array_to_string(list_transform(range(0, n), lambda j: left(md5(array_to_string(w[{start} + 1 : {end}], ' ')), 12)), ',') AS leaves FROM {name}b),
-{name}t AS (SELECT doc_id, string_agg(leaves || CASE WHEN left(md5(leaves), 1) < '4' THEN '|' ELSE '.' END, '' ORDER BY i) AS tree FROM {name}l GROUP BY doc_id),
-{name} AS (SELECT doc_id, sha256(array_to_string(list_transform(string_split(tree, '|'), lambda s: sha256(s)), '')) || ':' || tree AS fp FROM {name}t)"""
+{name}b AS (SELECT *, {new} AS firsts FROM {name}w),
+{name}l AS (SELECT doc_id, i, {leaves} AS leaves FROM {name}b),
+{name}n AS (SELECT doc_id, i, sha256(array_to_string(leaves, '')) AS node, array_to_string(list_transform(leaves, lambda x: left(x, 8)), ',') AS shown FROM {name}l),
+{name}e AS (SELECT *, CASE WHEN node < '4' THEN '|' ELSE '.' END AS e FROM {name}n),
+{name}t AS (SELECT doc_id, string_agg(node || e, '' ORDER BY i) AS nodes, string_agg(left(node, 16) || '-' || shown || e, '' ORDER BY i) AS shown FROM {name}e GROUP BY doc_id),
+{name}s AS (SELECT doc_id, list_transform(list_filter(string_split(nodes, '|'), lambda s: s <> ''), lambda s: sha256(s)) AS nodes, list_filter(string_split(shown, '|'), lambda s: s <> '') AS shown FROM {name}t),
+{name} AS (SELECT doc_id, sha256(array_to_string(nodes, '')) || ':' || array_to_string(list_transform(range(1, len(nodes) + 1), lambda i: left(nodes[i], 16) || '=' || shown[i]), '|') AS fp FROM {name}s)"""
 
 
-_LEAVES = "list_distinct(list_filter(regexp_split_to_array(substr({f}, 66), '[,.|]+'), lambda x: x <> ''))"
+_LEAVES = "list_distinct(list_filter(regexp_split_to_array(substr({f}, 66), '[|=.,-]'), lambda x: length(x) = 8))"
 
 
 def _dice(a: str, b: str) -> str:
