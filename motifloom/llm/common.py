@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,31 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a query that is made and run within are removed when it has ended, not when the driver collects garbage."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SWEEP)
+        else:
+            spark.conf.set(SWEEP, before)
+
+
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df, computed once and written as a table in the shared folder; its lineage ends there, and its shuffles' files go."""
+    spark, folder = df.sparkSession, own_dir(df.sparkSession, kind)
+    with swept(spark):
+        df.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

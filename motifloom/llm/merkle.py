@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over blocks of words, paragraphs and sections.
 
-A text is cut losslessly: paragraphs at newlines, words at single spaces. A paragraph's blocks are cut by content: one word
-in four begins a block, as the MD5 of the word and the one before says, so that an edit moves no cut but those beside it; only a
-block of over 64 words is cut again each 64 words. A leaf is a block's SHA-256, a paragraph's node that of its leaves, a section's
+A text is cut losslessly: paragraphs at newlines, words at single spaces. A paragraph's blocks are cut by content: about one word
+in four begins a block, as its first letter, its length and the first letter of the word before say, so that an edit moves no cut
+but those beside it; only a block of over 64 words is cut again each 64 words. A leaf is a block's SHA-256, a paragraph's node that of its leaves, a section's
 node that of its paragraphs' nodes, and the root that of the sections' nodes; a section ends after a paragraph whose node says so, one in
 four. All these are whole digests, so equal roots mean equal texts, and where branches differ the texts do.
 
@@ -31,16 +31,17 @@ def _let(value: Column, of) -> Column:
 
 def _blocks(words: Column) -> Column:
     n = F.size(words)
-    new = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.md5(F.concat(words[i - 1], F.lit(" "), words[i])) < "4")
+    cut = lambda i: (5 * F.ascii(words[i]) + 3 * F.length(words[i]) + F.ascii(words[i - 1])) % 4 == 0
+    new = F.filter(F.sequence(F.lit(1), n - 1), cut)
     starts = F.concat(F.array(F.lit(0)), F.when(n > 1, new).otherwise(F.array().cast("array<int>")))
     join = lambda part: F.array_join(part, " ")
 
-    def cut(b: Column) -> Column:
+    def whole(b: Column) -> Column:
         again = F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / F.lit(BLOCK)).cast("int")), lambda t: join(F.slice(b, t * BLOCK + 1, BLOCK)))
         return F.when(F.size(b) <= BLOCK, F.array(join(b))).otherwise(again)
 
     parts = _let(starts, lambda at: F.transform(at, lambda s, j: F.slice(words, s + 1, F.coalesce(F.get(at, j + 1), n) - s)))
-    return F.flatten(F.transform(parts, cut))
+    return F.flatten(F.transform(parts, whole))
 
 
 def _paragraph(paragraph: Column) -> Column:
@@ -106,24 +107,29 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """docs (doc_id, text and carried) with next_<column> of the document that follows in descending doc_id; the first follows the last.
 
     Documents lie in ranges of doc_id; the first of each range also goes, as a sentinel, to the range before, so
-    that each range is ordered alone. Nulls come last, equal ids in the order of text; the rows of one id are ordered in one task.
-    The columns mf_bucket, mf_top, mf_above, mf_b and mf_to are its own: docs must not have them.
+    that each range is ordered alone. Nulls come last, equal ids in the order of a hash of the text and of the text; the
+    rows of one id are ordered in one task. Names that begin with mf_ are its own: docs must not have them.
     """
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(4 * partitions(docs.sparkSession), n_bytes // BUCKET_BYTES)
-    rows = range_buckets(docs, "doc_id", "mf_bucket", n).withColumn("mf_bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("mf_bucket")))
-    tops = rows.groupBy("mf_bucket").agg(F.max("doc_id").alias("mf_top"))  # one row a range
+    size = F.octet_length("text")
+    sums = docs.agg(F.sum(size).alias("all"), F.sum(F.when(F.col("doc_id").isNull(), size)).alias("none")).first()
+    n = max(4 * partitions(docs.sparkSession), (sums["all"] or 0) // BUCKET_BYTES)
+    # rows without an id follow all others, in the order of a hash, so that they can be divided too: into buckets -1, -2 and on
+    th, none = F.xxhash64("text"), 1 + (sums["none"] or 0) // BUCKET_BYTES
+    part = F.least(F.floor((th.cast("double") / 2.0**64 + 0.5) * none), F.lit(none - 1)).cast("int")
+    rows = range_buckets(docs, "doc_id", "mf_bucket", n).withColumn("mf_bucket", F.when(F.col("doc_id").isNull(), -1 - part).otherwise(F.col("mf_bucket"))).withColumn("mf_hash", th)
+    first = F.when(F.col("mf_bucket") < 0, F.col("mf_hash"))
+    tops = rows.groupBy("mf_bucket").agg(F.max("doc_id").alias("mf_top"), F.min(first).alias("mf_first"))  # one row a range
     up = Window.partitionBy(F.lit(0)).orderBy("mf_bucket")
     whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = tops.withColumn("mf_above", F.coalesce(F.lead("mf_bucket").over(up), F.min("mf_bucket").over(whole)))
-    tops = tops.select(F.col("mf_bucket").alias("mf_b"), "mf_top", "mf_above")
-    at = (rows["mf_bucket"] == tops["mf_b"]) & rows["doc_id"].eqNullSafe(tops["mf_top"])
+    tops = tops.select(F.col("mf_bucket").alias("mf_b"), "mf_top", "mf_first", "mf_above")
+    at = (rows["mf_bucket"] == tops["mf_b"]) & rows["doc_id"].eqNullSafe(tops["mf_top"]) & (tops["mf_first"].isNull() | (rows["mf_hash"] == tops["mf_first"]))
     here = F.struct(F.col("mf_bucket").alias("b"), F.lit(False).alias("sentinel"))
     there = F.struct(F.col("mf_above").alias("b"), F.lit(True).alias("sentinel"))
     sent = rows.join(F.broadcast(tops), at, "left").withColumn("mf_to", F.explode(F.when(F.col("mf_above").isNotNull(), F.array(here, there)).otherwise(F.array(here))))
-    order = Window.partitionBy("mf_to.b").orderBy("mf_to.sentinel", F.col("doc_id").desc_nulls_last(), "text")
-    led = sent.select(*docs.columns, "mf_to").withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
-    return led.where("not mf_to.sentinel").drop("mf_to")
+    order = Window.partitionBy("mf_to.b").orderBy("mf_to.sentinel", F.col("doc_id").desc_nulls_last(), "mf_hash", "text")
+    led = sent.select(*docs.columns, "mf_hash", "mf_to").withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
+    return led.where("not mf_to.sentinel").drop("mf_to", "mf_hash")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
