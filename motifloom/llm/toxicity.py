@@ -48,6 +48,8 @@ class Model(NamedTuple):
 
 #: Counted as a feature of every document.
 ALL = ""
+#: Features that a task counts before it gives them away, but for those of one document more.
+HELD = 400_000
 
 
 def _sampled(keys: DataFrame, most: int, seed: int) -> DataFrame:
@@ -59,48 +61,57 @@ def _counted(rows: DataFrame) -> DataFrame:
     """feature, p, u: the confirmed and all rows (text, confirmed) that have it; the feature ALL counts the rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        has: tuple[Counter, Counter] = (Counter(), Counter())
-        known: dict[str, list[str]] = {}
+        number: dict[str, int] = {ALL: 0}
+        known: dict[str, np.ndarray] = {}  # the numbers of a word's features
+        has, last = np.zeros((2, 2 * HELD), np.int64), np.zeros(2 * HELD, np.int64)
 
         def flush() -> pd.DataFrame:
-            both = sorted(has[0].keys() | has[1].keys())
-            out = pd.DataFrame({"feature": pd.Series(both, dtype=object), "p": [has[0][f] for f in both], "u": [has[1][f] for f in both]})
-            for c in has:
-                c.clear()
+            out = pd.DataFrame({"feature": list(number), "p": has[0, : len(number)], "u": has[1, : len(number)]})
+            number.clear()
+            known.clear()
+            number[ALL] = 0
+            has[:] = 0
             return out
 
+        def numbers(word: str) -> np.ndarray:
+            got = known[word] = np.array([number.setdefault(f, len(number)) for f in features_of(word)])
+            return got
+
         for b in batches:
             for text, confirmed in zip(b["text"].array, b["confirmed"].array, strict=True):
-                own: set[str] = {ALL}
-                for w in words_of(text):
-                    got = known.get(w)
-                    if got is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        got = known[w] = features_of(w)
-                    own.update(got)
-                has[1].update(own)
+                every = [known[w] if w in known else numbers(w) for w in words_of(text)]
+                ids = np.concatenate([np.zeros(1, np.int64), *every])
+                if len(number) > len(last):  # a text of very many words
+                    more = len(number) - len(last) + HELD
+                    has, last = np.pad(has, ((0, 0), (0, more))), np.pad(last, (0, more))
+                # the last place of each number, so that each counts once
+                order = np.arange(len(ids))
+                last[ids] = order
+                own = ids[last[ids] == order]
+                has[1, own] += 1
                 if confirmed:
-                    has[0].update(own)
-                if len(has[0]) + len(has[1]) > 400_000:
+                    has[0, own] += 1
+                if len(number) > HELD:
                     yield flush()
         yield flush()
 
     return rows.select("text", "confirmed").mapInPandas(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
-def _vector(index: dict[str, int], known: dict[str, tuple[int, ...]], text: str | None) -> tuple[list[int], list[float]]:
+def _vector(index: dict[str, int], known: dict[str, np.ndarray], text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The features of a text that the index has, and their values; known keeps each word's features."""
-    got: Counter = Counter()
+    every = []
     for w in words_of(text):
         i = known.get(w)
         if i is None:
             if len(known) > 500_000:
                 known.clear()
-            i = known[w] = tuple(index[f] for f in features_of(w) if f in index)
-        if i:
-            got.update(i)
-    return list(got), [1.0 + float(np.log(n)) for n in got.values()]
+            i = known[w] = np.array([index[f] for f in features_of(w) if f in index], np.int64)
+        if len(i):
+            every.append(i)
+    n = np.bincount(np.concatenate(every)) if every else np.zeros(0, np.int64)
+    i = np.flatnonzero(n)
+    return i, (1 + np.log(n[i])).astype(np.float32)
 
 
 def pu_risk(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray, float]:
@@ -168,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
     rows = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "h"])
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, np.ndarray] = {}
         seen: set[tuple] = set()  # as many as the sample at most
         for b in batches:
             got = []
@@ -176,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
                 if (doc_id, h, positive) not in seen:
                     seen.add((doc_id, h, positive))
                     i, v = _vector(index, known, text)
-                    got.append((doc_id, h, positive, np.array(i, np.int32), np.array(v, np.float32)))
+                    got.append((doc_id, h, positive, i.astype(np.int32), v))
             if got:  # an empty frame has no type for its lists
                 yield pd.DataFrame(got, columns=["doc_id", "h", "positive", "i", "v"])
 
@@ -200,12 +211,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, np.ndarray] = {}
         for b in batches:
             out = np.empty(len(b))
             for k, text in enumerate(b["text"].array):
                 i, v = _vector(model.features, known, text)
-                g = model.bias + (float(np.dot(model.weight[i], np.array(v, np.float32))) if i else 0.0)
+                g = model.bias + float(model.weight[i] @ v)
                 out[k] = 1 / (1 + np.exp(-min(max(g, -30.0), 30.0)))
             yield b.assign(score=out)
 
