@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,17 +103,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, rejec
                 n += 1
                 least.setdefault(lang, set()).add(int(h))
             least = {lang: set(sorted(hs)[:each]) for lang, hs in least.items()}
-        yield pd.DataFrame({"i": np.arange(-1, DIMENSIONS), "n": np.append(n, df), "lang": None, "h": 0})
-        yield pd.DataFrame([(-2, 0, lang, h) for lang, hs in least.items() for h in hs], columns=["i", "n", "lang", "h"])
+        task = TaskContext.get().partitionId()
+        yield pd.DataFrame({"i": np.arange(-1, DIMENSIONS), "n": np.append(n, df), "lang": None, "h": 0, "task": task})
+        yield pd.DataFrame([(-2, 0, lang, h, task) for lang, hs in least.items() for h in hs], columns=["i", "n", "lang", "h", "task"])
 
-    told = pinned(rows.mapInPandas(tally, "i int, n long, lang string, h long"))
+    told = pinned(rows.mapInPandas(tally, "i int, n long, lang string, h long, task int"))
     total = {r["i"]: r["n"] for r in told.where("i >= -1").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # DIMENSIONS rows and one
     if not total.get(-1):
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(0))
     idf = np.log((1 + total[-1]) / (1 + np.array([total[i] for i in range(DIMENSIONS)]))).astype(np.float32) + 1
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = told.where("i = -2").select("lang", "h").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("lang", "h")
-    picked = rows.join(F.broadcast(pinned(chosen)), ["lang", "h"])  # each texts a language
+    chosen = told.where("i = -2").select("lang", "h", "task")
+    for groups in (4096, 256, 16, 1):  # the least of some tasks, then of some of these groups: no group grows with the number of tasks
+        chosen = chosen.select("lang", "h", F.pmod("task", F.lit(groups)).alias("task")).distinct()
+        first = Window.partitionBy("lang", "task").orderBy("h")
+        chosen = chosen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).drop("place")
+    picked = rows.join(F.broadcast(pinned(chosen.select("lang", "h"))), ["lang", "h"])  # each texts a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()
