@@ -185,13 +185,40 @@ def test_decontamination(spark, docs, prose):
                 want[i, j] = part
     got = decontaminate.find_items(docs(rows), table).collect()
     assert {(r["doc_id"], r["item_id"]): r["containment"] for r in got} == pytest.approx(want) and len(got) == len(want)
+    clean = decontaminate.drop_contaminated(docs(rows).withColumn("_th", F.lit(1)), table).drop("_th").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in clean) == sorted((i, t or "") for i, t in rows if i in (3, 5, 6))
     assert decontaminate.find_items(docs([]), table).count() == decontaminate.find_items(docs(rows), table.limit(0)).count() == 0
 
 
-def test_merkle(spark, docs, corpus):
+def test_decontamination_of_shared_phrases_and_repeated_ids(spark, docs, prose):
+    phrase = "which of the following is the best answer to the question"
+    own = [prose(8) for _ in range(40)]
+    items = [(i, f"{phrase} {t}") for i, t in enumerate(own)] + [(500, own[0] + " " + prose(6)), (500, own[1]), (None, own[2]), (None, own[3]), (501, phrase), (502, phrase.upper())]
+    rows = [(i, f"{prose(20)} {phrase} {prose(20)}") for i in range(30)] + [(100 + i, f"{prose(9)} {phrase} {t} {prose(9)}") for i, t in enumerate(own[:5])] + [(None, f"{own[7]} {prose(4)}")] * 3 + [(None, own[2]), (None, "clean words " * 5000)]
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("k", F.lit("clash")).withColumn("w", F.lit(0))
+    got = {(r["doc_id"], r["item_id"]): r["containment"] for r in decontaminate.find_items(docs(rows).withColumn("th", F.lit("clash")), table).collect()}
+    grams = lambda t, k=5: {tuple(w[i : i + k]) for w in [t.lower().split()] for i in range(len(w) - k + 1)}
+    want = {}
+    for j, t in items:
+        for i, x in rows:
+            part = len(grams(t) & grams(x)) / len(grams(t))
+            if part >= 0.8 - 1e-9:
+                want[i, j] = max(part, want.get((i, j), 0))
+    assert got == pytest.approx(want) and (101, 500) in got and (None, None) in got and (0, 501) in got and (0, 502) in got and (0, 0) not in got
+
+
+def test_merkle(spark, docs, corpus, prose, monkeypatch):
     rows = corpus + [(60, corpus[4][1] + "\n\n# h\n" + corpus[3][1]), (61, "é" * 10), (62, "a"), (62, "b")]
+    monkeypatch.setattr(merkle, "BUCKET_BYTES", 1 << 16)
+    nulls = docs([(None, prose(300)) for _ in range(400)] + [(5, "abc")])
+    after = {r["text"]: r["next_text"] for r in merkle.with_next(nulls, ["text"]).collect()}
+    start, seen = "abc", ["abc"]
+    while (start := after[start]) != "abc":
+        seen.append(start)
+    assert len(seen) == len(after) == 401
     got = merkle.fingerprint_edits(docs(rows)).collect()
-    order = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
+    hashes = {(r["doc_id"], r["text"] or ""): r["h"] for r in docs(rows).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-r[0], hashes[r[0], r[1] or ""]))
     want = []
     for n, (i, t) in enumerate(order):
         t, nxt = t or "", order[(n + 1) % len(order)][1] or ""
@@ -242,7 +269,8 @@ def test_merkle_against_a_brute_tree(spark, prose):
         for par in text.split("\n"):
             w, blocks = par.split(" "), []
             for i, x in enumerate(w):
-                if not i or hashlib.md5(f"{w[i - 1]} {x}".encode()).hexdigest() < "4":
+                first = lambda v: ord(v[0]) if v else 0
+                if not i or (5 * first(x) + 3 * len(x) + first(w[i - 1])) % 4 == 0:
                     blocks.append([])
                 blocks[-1].append(x)
             leaves = [sha(" ".join(b[t : t + 64])) for b in blocks for t in range(0, len(b), 64)]
@@ -257,7 +285,7 @@ def test_merkle_against_a_brute_tree(spark, prose):
         nodes = [sha("".join(n + mark(n) for n, _ in s)) for s in sections]
         return sha("".join(nodes)) + ":" + "|".join(n[:16] + "=" + "".join(f"{p[:16]}-{shown}{mark(p)}" for p, shown in s) for n, s in zip(nodes, sections, strict=True))
 
-    texts = ["", " ", "\n", "one", "é  two\n\nthree", "again " * 300, "\n".join(prose(30) for _ in range(40)), prose(5000)]
+    texts = ["", " ", "\n", "one", "é  two\n\nthree \U0001f600 日本", "again " * 300, "\n".join(prose(30) for _ in range(40)), prose(5000)]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", merkle.fingerprint(F.col("t")).alias("f")).collect()
     assert {r["i"]: r["f"] for r in got} == {i: tree(t) for i, t in enumerate(texts)}
 
