@@ -5,9 +5,12 @@ Bit T_N[i] + j, for i > j, says that vertices i and j are adjacent.
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, permutations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,21 +82,81 @@ def _connected(mask: int, k: int) -> bool:
     return len(seen) == k
 
 
+@lru_cache(maxsize=1 << 16)
+def canonical_order(mask: int, k: int) -> tuple[tuple[int, ...], int] | None:
+    """Of k vertices in ascending order, connected by mask: the positions in the order in which the enumeration reaches them (see expand.canonical), and the mask in that order. None if they aren't connected."""
+    adjacent = lambda i, j: mask >> bit(i, j) & 1
+
+    def extend(order: tuple[int, ...]) -> tuple[int, ...] | None:
+        if len(order) == k:
+            return order
+        for c in range(1, k):
+            first = next((i for i, v in enumerate(order) if c not in order and adjacent(v, c)), None)
+            if first is not None and all(v < c for v in order[first + 1 :]) and (found := extend((*order, c))):
+                return found
+        return None
+
+    order = extend((0,))
+    return order and (order, sum(1 << bit(i, j) for i in range(k) for j in range(i) if adjacent(order[i], order[j])))
+
+
+#: Up to so many vertices all masks are listed; of more, those that occur.
+LISTED = 5
+
+
 @lru_cache
 def patterns(k: int) -> list[tuple[int, bool, int]]:
-    """(mask, connected, pattern id) of every mask of k vertices, k up to 5. The id is the degree id for k up to 4, else the least mask of all permutations."""
-    out = []
-    orders = [[bit(p[i], p[j]) for i in range(k) for j in range(i)] for p in permutations(range(k))] if k > 4 else []
-    for mask in range(1 << T_N[k]):
-        if k <= 4:
-            degrees = sorted((mask & row_mask(i, k)).bit_count() for i in range(k))
-            name = reduce(lambda acc, d: acc * 4 + d, degrees, 0)
-        else:
-            name = min(sum((mask >> b & 1) << t for b, t in enumerate(to)) for to in orders)
-        out.append((mask, _connected(mask, k), name))
-    return out
+    """(mask, connected, pattern id) of every mask of k vertices, k up to LISTED. The id is the degree id for k up to 4, else the least mask of all permutations."""
+    if k > LISTED:
+        raise ValueError(f"the masks of {k} vertices are too many to list")
+    every = np.arange(1 << T_N[k])
+    return [(int(m), _connected(int(m), k), int(n)) for m, n in zip(every, pattern_ids(every, k), strict=True)]
+
+
+def pattern_ids(some: np.ndarray, k: int) -> np.ndarray:
+    """The pattern id of each mask of k vertices."""
+    if k <= 4:
+        degrees = np.sort(np.stack([np.bitwise_count(some & row_mask(i, k)) for i in range(k)], 1).astype(np.int64), 1)
+        return degrees @ (4 ** np.arange(k - 1, -1, -1))
+    # the bits of all permutations of a mask are a matrix product; doubles hold 28 bits exactly
+    weight = np.array([[float(1 << bit(p[i], p[j])) for i in range(k) for j in range(i)] for p in permutations(range(k))]).T
+    bits = (some[:, None] >> np.arange(T_N[k]) & 1).astype(float)
+    return np.concatenate([(bits[i : i + 256] @ weight).min(1) for i in range(0, len(some), 256)] or [np.empty(0)]).astype(np.int64)
 
 
 def pattern_table(spark: SparkSession, k: int) -> DataFrame:
     """patterns(k) as a table of 2^(k(k-1)/2) rows, small enough to broadcast."""
     return spark.createDataFrame(patterns(k), "mask int, connected boolean, pattern_id int")
+
+
+def occurring(rows: DataFrame, k: int, *columns: str) -> DataFrame:
+    """(mask, connected, pattern_id) of every mask in the columns of rows. Up to LISTED vertices that is all masks, else rows should be pinned."""
+    if k <= LISTED:
+        return F.broadcast(pattern_table(rows.sparkSession, k))
+    some = None
+    for c in columns:
+        one = rows.select(F.col(c).alias("mask"))
+        some = one if some is None else some.unionByName(one)
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = b["mask"].to_numpy(np.int64)
+            yield pd.DataFrame({"mask": m, "connected": [_connected(int(x), k) for x in m], "pattern_id": pattern_ids(m, k)})
+
+    return some.distinct().mapInPandas(name, "mask int, connected boolean, pattern_id int")
+
+
+def orders(rows: DataFrame, k: int, *columns: str) -> DataFrame:
+    """(mask, order, in_order) of every connected mask in the columns of rows: canonical_order."""
+    schema = "mask int, order array<int>, in_order int"
+    known = lambda m: (lambda x: [(int(m), list(x[0]), x[1])] if x else [])(canonical_order(int(m), k))
+    if k <= LISTED:
+        return F.broadcast(rows.sparkSession.createDataFrame([r for m in range(1 << T_N[k]) for r in known(m)], schema))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [r for m in b["mask"] for r in known(m)]
+            if found:
+                yield pd.DataFrame(found, columns=["mask", "order", "in_order"])
+
+    return occurring(rows, k, *columns).select("mask").mapInPandas(of, schema)

@@ -14,6 +14,19 @@ def clean(pairs: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return pairs.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), (a != b).alias("_two")).where("_two").drop("_two").distinct()
 
 
+#: Where labels are put above ids.
+ID_SPAN = 1 << 48
+NO_LABEL = -1
+
+
+def label_of(v: Column) -> Column:
+    return F.shiftright(v, 48)
+
+
+def id_of(v: Column) -> Column:
+    return v - label_of(v) * ID_SPAN
+
+
 @dataclass
 class Graph:
     """edges: src < dst, each once, with add_ts and del_ts (null: alive) where the graph has a history. labels: (id, label), else derived from ids."""
@@ -36,17 +49,32 @@ class Graph:
         alive = self.edges.where((F.col("add_ts") <= t) & (F.col("del_ts").isNull() | (F.col("del_ts") > t)))
         return Graph(alive.select("src", "dst", "add_ts", "del_ts"), self.labels)
 
-    def forward(self) -> DataFrame:
-        """(v, u) with u > v."""
-        return self.edges.select(F.col("src").alias("v"), F.col("dst").alias("u"))
+    def forward(self, ts: bool = False) -> DataFrame:
+        """(v, u) with u > v; with ts also the epoch add_ts that added the edge."""
+        return self.edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), *(["add_ts"] if ts else []))
 
-    def backward(self) -> DataFrame:
-        return self.edges.select(F.col("dst").alias("v"), F.col("src").alias("u"))
+    def backward(self, ts: bool = False) -> DataFrame:
+        return self.edges.select(F.col("dst").alias("v"), F.col("src").alias("u"), *(["add_ts"] if ts else []))
 
-    def symmetric(self) -> DataFrame:
-        """(v, u) in both directions, by one pass over the edges."""
+    def symmetric(self, ts: bool = False) -> DataFrame:
+        """(v, u) in both directions, by one pass over the edges; with ts also add_ts."""
         both = F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u")), F.struct(F.col("dst").alias("v"), F.col("src").alias("u")))
-        return self.edges.select(F.explode(both).alias("e")).select("e.v", "e.u")
+        more = ["add_ts"] if ts else []
+        return self.edges.select(F.explode(both).alias("e"), *more).select("e.v", "e.u", *more)
+
+    def edge_ts(self, pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+        """The rows of pairs whose ends are adjacent, with add_ts."""
+        e = self.edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "add_ts")
+        return pairs.join(e, (F.least(a, b) == F.col("_s")) & (F.greatest(a, b) == F.col("_d"))).drop("_s", "_d")
+
+    def labelled(self) -> Graph:
+        """The graph of the same edges between (label, id) in one number, label * 2^48 + id, from labels (id, label); vertices without one get -1.
+        Ids must be from 0 to 2^48 - 1, labels below 2^14. So label_of() and id_of() are Columns and queries by label need no join."""
+        known = self.labels.select(F.col("id").alias("_id"), F.col("label").cast("long").alias("_label"))
+        e = self.edges.select("src", "dst")
+        for end in ("src", "dst"):
+            e = e.join(known, F.col(end) == F.col("_id"), "left").withColumn(end, F.col(end) + F.coalesce("_label", F.lit(NO_LABEL)) * ID_SPAN).drop("_id", "_label")
+        return Graph.from_pairs(e)
 
     def degree(self) -> DataFrame:
         """(v, degree): combined before the shuffle."""

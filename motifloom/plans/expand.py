@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from motifloom.functions import masks
 from motifloom.graph import Graph
+from motifloom.plans.cut import pinned, small
 
 Predicate = Callable[[list[Column], Column], Column]
 
@@ -57,12 +58,22 @@ def canonical(vs: list[Column], adjacent: list[Column], c: Column) -> Column:
     return test
 
 
-def induced(g: Graph, k: int, pfilter: Predicate | None = None, keep: Callable[[list[Column], Column], Column] | None = None) -> DataFrame:
+#: Neighbours of a vertex that lie in one row at most.
+HUB = 20_000
+
+
+def induced(g: Graph, k: int, pfilter: Predicate | None = None, keep: Callable[[list[Column], Column], Column] | None = None, lists: bool | None = None) -> DataFrame:
     """v0..v(k-1), mask: each connected induced subgraph of k vertices once.
 
     Seeds are the edges; a candidate is larger than v0, a neighbour of some vertex and passes canonical(). pfilter(vertices, candidate)
-    is applied before a vertex is added; keep(vertices, mask) after, and must be anti-monotone.
+    is applied before a vertex is added; keep(vertices, mask) after, and must be anti-monotone. With lists each row carries its vertices'
+    neighbours; without, candidates are rows. By default that depends on whether a vertex has more than HUB neighbours.
     """
+    if k > 2 and lists is None:
+        g = Graph(pinned(g.edges.select("src", "dst")))
+        lists = (g.degree().agg(F.max("degree")).first()[0] or 0) <= HUB
+    if k > 2 and not lists:
+        return _induced_by_edges(g, k, pfilter, keep)
     nb = g.adjacency()
     of = lambda i: nb.select(F.col("v").alias(f"v{i}"), F.col("nb").alias(f"n{i}"))
     rows = g.edges.select(F.col("src").alias("v0"), F.col("dst").alias("v1"), F.lit(1).alias("mask"))
@@ -96,6 +107,28 @@ def induced(g: Graph, k: int, pfilter: Predicate | None = None, keep: Callable[[
     return rows.select(*(f"v{j}" for j in range(k)), "mask")
 
 
+def _induced_by_edges(g: Graph, k: int, pfilter: Predicate | None, keep: Callable[[list[Column], Column], Column] | None) -> DataFrame:
+    """induced, where a level joins each vertex of a set with its edges and the rows of one candidate are put together: no row is longer than the set."""
+    sym = g.symmetric()
+    rows = g.edges.select(F.col("src").alias("v0"), F.col("dst").alias("v1"), F.lit(1).alias("mask"))
+    if pfilter:
+        rows = rows.where(pfilter([], F.col("v0"))).where(pfilter([F.col("v0")], F.col("v1")))
+    if keep:
+        rows = rows.where(keep([F.col("v0"), F.col("v1")], F.col("mask")))
+    for i in range(2, k):
+        vs = [F.col(f"v{j}") for j in range(i)]
+        each = F.array(*(F.struct(v.alias("v"), F.lit(1 << masks.bit(i, j)).alias("b")) for j, v in enumerate(vs)))
+        met = rows.select(*vs, "mask", F.explode(each).alias("x")).select(*vs, "mask", "x.v", "x.b").join(sym.withColumnRenamed("u", "c"), "v").where((F.col("c") > vs[0]) & ~F.col("c").isin(*vs[1:]))
+        if pfilter:
+            met = met.where(pfilter(vs, F.col("c")))
+        met = met.groupBy(*vs, "mask", "c").agg(F.bit_or("b").alias("b"))
+        adjacent = [F.col("b").bitwiseAND(F.lit(1 << masks.bit(i, j))) != 0 for j in range(i)]
+        rows = met.where(canonical(vs, adjacent, F.col("c"))).select(*vs, F.col("c").alias(f"v{i}"), F.col("mask").bitwiseOR(F.col("b")).cast("int").alias("mask"))
+        if keep:
+            rows = rows.where(keep([*vs, F.col(f"v{i}")], F.col("mask")))
+    return rows
+
+
 def grow(neighbours: DataFrame, sets: DataFrame, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(vertices): every set of sets with one neighbour more, once, in ascending order. neighbours: (v, u) in both directions."""
     rows = sets.select("vertices", F.explode("vertices").alias("v")).join(neighbours, "v").where(~F.array_contains("vertices", F.col("u")))
@@ -104,14 +137,22 @@ def grow(neighbours: DataFrame, sets: DataFrame, accept: Callable[[Column, Colum
     return rows.select(F.array_sort(F.array_append("vertices", F.col("u"))).alias("vertices")).distinct()
 
 
+def near(neighbours: DataFrame, sets: DataFrame, ends: tuple[str, ...] = ("v",)) -> DataFrame:
+    """The rows of neighbours with ends in vertices of sets (pinned), found without a shuffle of neighbours where those are few."""
+    vs = small(pinned(sets.select(F.explode("vertices").alias("_v")).distinct()))
+    for end in ends:
+        neighbours = neighbours.join(vs, F.col(end) == F.col("_v"), "left_semi")
+    return neighbours
+
+
 def with_masks(sets: DataFrame, k: int, **graphs: DataFrame) -> DataFrame:
-    """sets (vertices, distinct) with a mask column (0: no edge) for each given table of edges (src, dst)."""
+    """sets (vertices, distinct, pinned) with a mask column (0: no edge) for each given table of edges (src, dst). Only the edges among the sets' vertices are shuffled."""
     pairs = F.array(*(F.struct(F.col("vertices")[j].alias("src"), F.col("vertices")[i].alias("dst"), F.lit(1 << masks.bit(i, j)).alias("b")) for i in range(k) for j in range(i)))
     rows = sets.select("vertices", F.explode(pairs).alias("p")).select("vertices", "p.src", "p.dst", "p.b")
     every = None
     for name, e in graphs.items():
         one = e.select("src", "dst", F.lit(1 << list(graphs).index(name)).alias("g"))
         every = one if every is None else every.unionByName(one)
-    every = every.groupBy("src", "dst").agg(F.bit_or("g").alias("g"))
+    every = near(every, sets, ("src", "dst")).groupBy("src", "dst").agg(F.bit_or("g").alias("g"))
     rows = rows.join(every, ["src", "dst"], "left").groupBy("vertices")
     return rows.agg(*(F.bit_or(F.when(F.getbit(F.coalesce("g", F.lit(0)), F.lit(n)) == 1, F.col("b")).otherwise(0)).alias(name) for n, name in enumerate(graphs)))
