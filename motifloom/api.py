@@ -48,10 +48,10 @@ class GraphMiner:
         run = {"clique": mining.kclique_count, "motif": mining.motif_census, "color": mining.color_clique_count, "keyword": mining.keyword_sets}[self.algorithm]
         return run(self.graph, self.k)
 
-    def start(self) -> None:
-        """Begins an evolving graph in folder, with the input files' graph (or none) as its first state."""
-        own = isinstance(self.algorithm, mining.PatternQuery)
-        self.stream = GraphStream(self.spark, self.folder, self.k, "pattern" if own else self.algorithm, lambda df, t: self.callback(df, t) if self.callback else None, match=self.algorithm.match if own else None)
+    def start(self, **options) -> None:
+        """Begins an evolving graph in folder, with the input files' graph (or none) as its first state. options: further ones of GraphStream."""
+        own = self.algorithm if isinstance(self.algorithm, mining.PatternQuery) else None
+        self.stream = GraphStream(self.spark, self.folder, self.k, "pattern" if own else self.algorithm, lambda df, t: self.callback(df, t) if self.callback else None, query=own, **options)
         self.preload_chunk(self.graph.edges if self.graph else self.spark.createDataFrame([], "src long, dst long"))
 
     def preload_chunk(self, pairs: DataFrame) -> None:
@@ -93,5 +93,9 @@ class GraphMiner:
     def totals(self) -> DataFrame:
         return self.stream.totals()
 
+    def batches(self) -> DataFrame:
+        """Seconds and counts of each batch."""
+        return self.stream.batches()
+
     def stop(self) -> None:
         self.stream, self.pending, self.epoch = None, [], 0

@@ -2,83 +2,206 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.functions import masks
 from motifloom.graph import Graph
+from motifloom.operators.mining import PatternQuery
 from motifloom.plans import expand
+from motifloom.plans.cut import pinned, small
 
-def touched_sets(after: Graph, before: Graph, changed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(vertices): sets of k vertices, connected in the union of both snapshots, that hold both ends of a changed edge. Seeded by changed (src, dst).
-    accept(vertices, new) prunes what is grown from a seed."""
-    both = Graph(after.edges.select("src", "dst").unionByName(before.edges.select("src", "dst")).distinct())
+
+def touched_sets(before: Graph, added: DataFrame, changed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(vertices): sets of k vertices, connected by edges before or added, that hold both ends of a changed edge. Seeded by changed (src, dst):
+    each level only takes the edges of the sets' vertices. accept(vertices, new) prunes what is grown from a seed."""
+    both = Graph(before.edges.select("src", "dst").unionByName(added.select("src", "dst")))
     sets, sym = changed.select(F.array("src", "dst").alias("vertices")).distinct(), both.symmetric()
     for _ in range(k - 2):
-        sets = expand.grow(sym, sets, accept)
+        sets = pinned(sets)
+        sets = expand.grow(expand.near(sym, sets), sets, accept)
     return sets
 
 
-def set_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """vertices, old, now (masks in the snapshots before and after) of every touched set whose mask changed."""
-    changed = added.select("src", "dst").unionByName(removed.select("src", "dst"))
-    sets = touched_sets(after, before, changed, k, accept)
+def set_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """vertices, old, now (masks in the snapshots before and after) of every touched set whose mask changed. added and removed are what the snapshots differ by;
+    seeds, if given, those of them that matter."""
+    changed = added.select("src", "dst").unionByName(removed.select("src", "dst")) if seeds is None else seeds
+    sets = pinned(touched_sets(before, added, changed, k, accept))
     return expand.with_masks(sets, k, old=before.edges, now=after.edges).where("old != now")
 
 
-def clique_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int) -> DataFrame:
-    """vertices, status (add or del), edges, new_edges: the k-cliques that came and those that went; a clique is never modified."""
-
-    def containing(g: Graph, seeds: DataFrame) -> DataFrame:
-        nb = g.adjacency()
-        of = lambda name, lst: nb.select(F.col("v").alias(name), F.col("nb").alias(lst))
-        rows = seeds.select("src", "dst").distinct().join(of("src", "na"), "src").join(of("dst", "nbb"), "dst")
-        rows = rows.select(F.array("src", "dst").alias("vertices"), F.array_intersect("na", "nbb").alias("cand"))
-        for _ in range(k - 3):  # the other vertices in ascending order
-            rows = rows.withColumn("c", F.explode("cand")).join(of("c", "nc"), "c")
-            rows = rows.select(F.array_append("vertices", F.col("c")).alias("vertices"), F.filter(F.array_intersect("cand", "nc"), lambda x: x > F.col("c")).alias("cand"))
-        if k > 2:
-            rows = rows.withColumn("c", F.explode("cand")).select(F.array_append("vertices", F.col("c")).alias("vertices"))
-        return rows.select(F.array_sort("vertices").alias("vertices")).distinct()  # once, however many of its edges are seeds
+def cliques_of(g: Graph, seeds: DataFrame, k: int) -> DataFrame:
+    """(vertices, seeds): the k-cliques of g that hold a seed edge, and the mask of their edges that are seeds.
+
+    A seed's common neighbours come from the edges of its end of lower degree and are looked up among those of the other; further vertices are joined
+    in ascending order. So nothing is listed in one row, and only edges of the seeds' ends are shuffled for triangles.
+    """
+    seeds = pinned(seeds.select("src", "dst").distinct())
+    rows, new = seeds.select("src", "dst", F.array("src", "dst").alias("vertices")), []
+    if k > 2:
+        own = pinned(expand.near(g.symmetric(), rows))
+        d = own.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+        of = lambda end: d.select(F.col("v").alias(end), F.col("d").alias(f"d{end}"))
+        low = F.col("dsrc") <= F.col("ddst")
+        ends = seeds.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", F.when(low, F.col("src")).otherwise(F.col("dst")).alias("v"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("other"))
+        wedges = ends.join(own, "v").where("u != other")
+        common = wedges.join(own.select(F.col("v").alias("other"), "u"), ["other", "u"], "left_semi").select("src", "dst", F.col("u").alias("x2"))
+        rows = common = pinned(common) if k > 3 else common
+        new = ["x2"]
+    for i in range(3, k):
+        last, c = new[-1], f"x{i}"
+        rows = rows.join(g.edges.select(F.col("src").alias(last), F.col("dst").alias(c)), last).join(common.withColumnRenamed("x2", c), ["src", "dst", c], "left_semi")
+        for x in new[:-1]:
+            rows = rows.join(g.edges.select(F.col("src").alias(x), F.col("dst").alias(c)), [x, c], "left_semi")
+        new.append(c)
+    rows = rows.select("src", "dst", F.array_sort(F.array("src", "dst", *new)).alias("vertices"))
+    place = lambda end: F.array_position("vertices", F.col(end)).cast("int") - 1
+    bit = F.expr("shiftleft(1, cast(j * (j - 1) / 2 as int) + i)")
+    return rows.withColumns({"i": place("src"), "j": place("dst")}).groupBy("vertices").agg(F.bit_or(bit).alias("seeds"))
 
+
+def clique_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int) -> DataFrame:
+    """vertices, status (add or del), edges, new_edges: the k-cliques that came and those that went; a clique is never modified. new_edges are those of a new clique that weren't there before."""
     whole = (1 << masks.T_N[k]) - 1
-    come, gone = containing(after, added), containing(before, removed)
-    mark = lambda rows, status: rows.select("vertices", F.lit(status).alias("status"), F.lit(whole).alias("edges"))
-    return mark(come, "add").unionByName(mark(gone, "del"))
+    mark = lambda rows, status, fresh: rows.select("vertices", F.lit(status).alias("status"), F.lit(whole).alias("edges"), fresh.cast("int").alias("new_edges"))
+    return mark(cliques_of(after, added, k), "add", F.col("seeds")).unionByName(mark(cliques_of(before, removed, k), "del", F.lit(0)))
 
 
 def motif_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int) -> DataFrame:
     """vertices, status (add, del or mod), old_id, new_id: sets that became, ceased to be or changed as connected subgraphs."""
     rows = set_changes(after, before, added, removed, k)
-    table = masks.pattern_table(rows.sparkSession, k).where("connected")
+    rows = rows if k <= masks.LISTED else pinned(rows)
+    table = masks.occurring(rows, k, "old", "now").where("connected")
     old = table.select(F.col("mask").alias("old"), F.col("pattern_id").alias("old_id"))
     now = table.select(F.col("mask").alias("now"), F.col("pattern_id").alias("new_id"))
-    rows = rows.join(F.broadcast(old), "old", "left").join(F.broadcast(now), "now", "left").where("old_id is not null or new_id is not null")
+    rows = rows.join(old, "old", "left").join(now, "now", "left").where("old_id is not null or new_id is not null")
     status = F.when(F.col("old_id").isNull(), "add").when(F.col("new_id").isNull(), "del").otherwise("mod")
     return rows.select("vertices", status.alias("status"), "old_id", "new_id")
 
 
-def pattern_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, match: Callable[[list[Column], Column], Column], accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """vertices, status (add, del or mod), edges, new_edges: connected sets of k vertices that match now, matched before, or match both times with other edges.
+def pattern_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, query: PatternQuery, accept: Callable[[Column, Column], Column] | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """vertices, status (add, del or mod), edges, new_edges: sets of k vertices that query reports now, reported before, or reports both times with other edges.
 
-    edges is the mask now (for del: before), new_edges what it has that wasn't there before.
+    query's filters, symmetric, match and python_match are asked of both snapshots, on the vertices in the order in which its static run reaches them. edges is the mask
+    now (for del: before) of the vertices in ascending order, new_edges what it has that wasn't there before. accept(vertices, new) and seeds prune the search.
     """
-    rows = set_changes(after, before, added, removed, k, accept)
-    linked = masks.pattern_table(rows.sparkSession, k).where("connected").select("mask")
+    k = query.k
+    if query.symmetric:
+        sets = pinned(clique_changes(after, before, added, removed, k).select("vertices").distinct())
+        rows = expand.with_masks(sets, k, old=before.edges, now=after.edges)
+    else:
+        rows = set_changes(after, before, added, removed, k, accept, seeds)
+    rows = rows if k <= masks.LISTED else pinned(rows)
+    order = masks.orders(rows, k, "old", "now")
     for name in ("old", "now"):
-        rows = rows.join(F.broadcast(linked.select(F.col("mask").alias(name), F.lit(True).alias(f"{name}_linked"))), name, "left")
-    vs = [F.col("vertices")[i] for i in range(k)]
-    held = lambda name: F.coalesce(F.col(f"{name}_linked") & match(vs, F.col(name)), F.lit(False))
-    rows = rows.withColumns({"was": held("old"), "is": held("now")}).where("was or is")
-    status = F.when(~F.col("was"), "add").when(~F.col("is"), "del").otherwise("mod")
+        rows = rows.join(order.select(F.col("mask").alias(name), F.col("order").alias(f"{name}_order"), F.col("in_order").alias(f"{name}_mask")), name, "left")
+        vs = [F.col("vertices")[F.col(f"{name}_order")[i]] for i in range(k)]
+        rows = rows.withColumn(f"{name}_is", F.coalesce(query.holds(vs, F.col(f"{name}_mask")), F.lit(False)))
+    rows = rows.where("old_is or now_is")
+    if query.python_match:
+        test = query.python_match
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for name in ("old", "now"):
+                    some = b[b[f"{name}_is"]]
+                    if len(some):
+                        at = [np.asarray(v)[np.asarray(o)] for v, o in zip(some["vertices"], some[f"{name}_order"], strict=True)]
+                        asked = pd.DataFrame(np.array(at, np.int64).reshape(-1, k), columns=[f"v{i}" for i in range(k)], index=some.index).assign(mask=some[f"{name}_mask"].astype("int32"))
+                        b.loc[some.index, f"{name}_is"] = test(asked).to_numpy(bool)
+                yield b
+
+        rows = rows.mapInPandas(ask, rows.schema).where("old_is or now_is")
+    status = F.when(~F.col("old_is"), "add").when(~F.col("now_is"), "del").otherwise("mod")
+    fresh = F.when(F.col("now_is"), F.col("now").bitwiseAND(F.bitwise_not("old"))).otherwise(0)
+    return rows.select("vertices", status.alias("status"), F.when(F.col("now_is"), F.col("now")).otherwise(F.col("old")).alias("edges"), fresh.alias("new_edges"))
+
+
+def labelled_clique_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, old_labels: DataFrame, new_labels: DataFrame, relabelled: DataFrame) -> DataFrame:
+    """clique_changes of the k-cliques whose labels (id, label) all differ, by old_labels before and new_labels after. relabelled (id): the vertices whose label changed."""
+    moved = small(pinned(relabelled.select(F.col("id").alias("_id")).distinct()))
+    of = lambda g: g.edges.select("src", "dst").join(moved, (F.col("src") == F.col("_id")) | (F.col("dst") == F.col("_id")), "left_semi")
+    now, was = (cliques_of(g, c.select("src", "dst").unionByName(of(g)), k).select("vertices") for g, c in ((after, added), (before, removed)))
+    sets = pinned(now.unionByName(was).distinct())
+    rows = expand.with_masks(sets, k, old=before.edges, now=after.edges)
+    each = sets.select("vertices", F.explode("vertices").alias("v"))
+    n = lambda name: F.count_distinct(name).alias(f"n_{name}")
+    for name, table in (("a", old_labels), ("b", new_labels)):
+        each = each.join(table.select(F.col("id").alias("v"), F.col("label").alias(name)), "v", "left")
+    rows = rows.join(each.groupBy("vertices").agg(n("a"), n("b")), "vertices")
+    whole = (1 << masks.T_N[k]) - 1
+    rows = rows.select("vertices", "old", "now", ((F.col("old") == whole) & (F.col("n_a") == k)).alias("was"), ((F.col("now") == whole) & (F.col("n_b") == k)).alias("is")).where("was != is")
     fresh = F.when(F.col("is"), F.col("now").bitwiseAND(F.bitwise_not("old"))).otherwise(0)
-    return rows.select("vertices", status.alias("status"), F.when(F.col("is"), F.col("now")).otherwise(F.col("old")).alias("edges"), fresh.alias("new_edges"))
+    return rows.select("vertices", F.when(F.col("is"), "add").otherwise("del").alias("status"), F.lit(whole).alias("edges"), fresh.alias("new_edges"))
+
+
+def cached_clique4_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The triangle changes and the 4-clique changes, the latter with cached (bool), from triangles (vertices): those of before, kept from the epochs before.
+
+    A 4-clique that has a changed edge has two triangles on it, found as the triangle changes are; a third closes it. cached: whether that one was there
+    before (a hit of the kept table) or has a new edge itself.
+    """
+    t = pinned(clique_changes(after, before, added, removed, 3))
+    abc = [F.col("vertices")[i].alias(x) for i, x in enumerate("abc")]
+    kept = triangles.select(*abc)
+    gone = t.where("status = 'del'").select(*abc)
+    come = t.where("status = 'add'").select(*abc)
+    whole, out = (1 << masks.T_N[4]) - 1, None
+    for status, seeds, fresh, all_of in (("add", added, come, kept.join(gone, list("abc"), "left_anti").withColumn("cached", F.lit(True)).unionByName(come.withColumn("cached", F.lit(False)))), ("del", removed, gone, kept.withColumn("cached", F.lit(True)))):
+        s = seeds.select("src", "dst").distinct()
+        third = F.when(F.col("a") < F.col("src"), F.col("a")).when(F.col("c") > F.col("dst"), F.col("c")).otherwise(F.col("b"))
+        on = None
+        for x, y in ("ab", "ac", "bc"):
+            one = fresh.join(s, (F.col(x) == F.col("src")) & (F.col(y) == F.col("dst"))).select("src", "dst", third.alias("x"))
+            on = one if on is None else on.unionByName(one)
+        pairs = on.join(on.withColumnRenamed("x", "y"), ["src", "dst"]).where("x < y")
+        corner = lambda end: F.array_sort(F.array(F.col(end), F.col("x"), F.col("y")))
+        for end in ("src", "dst"):
+            pairs = pairs.withColumn("t", corner(end))
+            held = all_of.select(*(F.col(v).alias(f"_{v}") for v in "abc"), F.col("cached").alias(f"{end}_cached"))
+            pairs = pairs.join(held, (F.col("t")[0] == F.col("_a")) & (F.col("t")[1] == F.col("_b")) & (F.col("t")[2] == F.col("_c"))).drop("_a", "_b", "_c", "t")
+        vertices = F.array_sort(F.array("src", "dst", "x", "y"))
+        place = lambda end: F.array_position("vertices", F.col(end)).cast("int") - 1
+        rows = pairs.select("src", "dst", vertices.alias("vertices"), (F.col("src_cached") & F.col("dst_cached")).alias("cached")).withColumns({"i": place("src"), "j": place("dst")})
+        bit = F.expr("shiftleft(1, cast(j * (j - 1) / 2 as int) + i)")
+        rows = rows.groupBy("vertices").agg(F.bit_or(bit).alias("seeds"), F.bool_and("cached").alias("cached"))
+        rows = rows.select("vertices", F.lit(status).alias("status"), F.lit(whole).alias("edges"), F.when(F.lit(status) == "add", F.col("seeds")).otherwise(0).alias("new_edges"), "cached")
+        out = rows if out is None else out.unionByName(rows)
+    return t, out
+
+
+def distances_near(g: Graph, vertices: DataFrame, hops: int, label: Callable[[Column], Column], keywords: int) -> DataFrame:
+    """(v, w, d) of vertices (v): the least number of hops, up to hops, to a vertex of g with keyword w. Only the edges around them are taken."""
+    sym, at = g.symmetric(), pinned(vertices.select("v", F.col("v").alias("u"), F.lit(0).alias("d")).distinct())
+    every = at
+    for h in range(1, hops + 1):
+        step = expand.near(sym, at.select(F.array("u").alias("vertices"))).select(F.col("v").alias("u"), F.col("u").alias("to"))
+        at = pinned(at.join(step, "u").select("v", F.col("to").alias("u"), F.lit(h).alias("d")).distinct().join(every.select("v", "u"), ["v", "u"], "left_anti"))
+        every = every.unionByName(at)
+    return every.withColumn("w", label(F.col("u")).cast("int")).where(F.col("w") < keywords).groupBy("v", "w").agg(F.min("d").alias("d"))
+
+
+def distance_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, hops: int, label: Callable[[Column], Column], keywords: int) -> DataFrame:
+    """(v, w, d) now of the vertices whose distances the epoch can change, those within hops - 1 of a changed edge; a vertex without any keyword near has a row with nulls."""
+    ends = added.select("src", "dst").unionByName(removed.select("src", "dst")).select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    both = Graph(before.edges.select("src", "dst").unionByName(added.select("src", "dst"))).symmetric()
+    around = pinned(ends)
+    for _ in range(hops - 1):
+        around = pinned(around.unionByName(expand.near(both, around.select(F.array("v").alias("vertices"))).select(F.col("u").alias("v"))).distinct())
+    now = distances_near(after, around, hops, label, keywords)
+    alive = around.join(expand.near(after.symmetric(), around.select(F.array("v").alias("vertices"))).select("v"), "v", "left_semi")
+    return around.join(now.join(alive, "v", "left_semi"), "v", "left").select("v", "w", "d")
 
 
 def keyword_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, label: Callable[[Column], Column], keywords: int) -> DataFrame:
-    """pattern_changes of the sets of at most k vertices that hold each keyword once, other vertices being plain."""
+    """pattern_changes of the sets of at most k vertices that hold each keyword once, other vertices being plain.
+
+    A changed edge is a seed only if both ends together are near enough to every keyword: no set of k vertices reaches farther than k - 2 hops from it."""
     plain = lambda v: label(v) >= keywords
 
     def accept(vs: Column, c: Column) -> Column:
@@ -88,9 +211,16 @@ def keyword_changes(after: Graph, before: Graph, added: DataFrame, removed: Data
         held = F.filter(F.array(*vs), lambda v: ~plain(v))
         return (F.size(held) == keywords) & (F.size(F.array_distinct(F.transform(held, label))) == keywords)
 
+    changed = pinned(added.select("src", "dst", F.lit(True).alias("new")).unionByName(removed.select("src", "dst", F.lit(False).alias("new"))))
+    both = Graph(before.edges.select("src", "dst").unionByName(added.select("src", "dst")))
+    ends = changed.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    near = distances_near(both, ends, k - 2, label, keywords)
+    close = changed.select("src", "dst", F.explode(F.array("src", "dst")).alias("v")).join(near, "v").groupBy("src", "dst").agg(F.count_distinct("w").alias("n")).where(F.col("n") == keywords)
+    changed = pinned(changed.join(close, ["src", "dst"], "left_semi"))
+
     out = None
     for size in range(max(2, keywords), k + 1):
-        one = pattern_changes(after, before, added, removed, size, match, accept)
+        one = pattern_changes(after, before, added, removed, PatternQuery(size, match=match), accept, changed)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -7,6 +7,7 @@ so a restart from the stream's checkpoint repeats nothing.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from motifloom.streaming import changes
 
 UPDATE = "tpe string, src long, dst long, ts long, key string, value string"
 LOG = "src long, dst long, alive boolean, epoch long"
+BATCH = "seconds double, edges_added long, edges_removed long, changes long, cache_hits long"
 LABELS = "src long, dst long, key string, value string, epoch long"
 #: Names of the update types, and the numbers 0 to 5 that stand for them.
 TYPES = ("VertexAdd", "VertexDel", "EdgeAdd", "EdgeDel", "VertexLabelMod", "EdgeLabelMod")
@@ -30,10 +32,12 @@ TYPES = ("VertexAdd", "VertexDel", "EdgeAdd", "EdgeDel", "VertexLabelMod", "Edge
 class GraphStream:
     """Keeps a graph's state in folder and evaluates a query after each batch of updates.
 
-    k and kind (clique, motif, color, keyword or pattern) are the query; pattern takes match(vertices, mask), color and keyword a
-    label(vertex) other than the derived one. output(changes, epoch) gets each epoch's changes besides the tables changes and
-    totals. VertexAdd changes no edge; VertexDel deletes the vertex's edges; label updates are kept in the table labels. Of several
-    updates to one edge in an epoch the greatest ts counts; at equal ts an addition and a deletion cancel each other.
+    k and kind (clique, motif, color, keyword or pattern) are the query; pattern takes query, all of whose hooks count (or match(vertices, mask)
+    alone), color and keyword a label(vertex) other than the derived one, color also label_key, the key of the label updates whose values are
+    the vertices' labels, so that such an update can make and unmake matches. output(changes, epoch) gets each epoch's changes besides the
+    tables changes, totals and batches (seconds and counts of each epoch). keep_triangles: 4-cliques come from a table of triangles kept across
+    epochs. hops: the table distances (keyword) is kept for so many. VertexAdd changes no edge; VertexDel deletes the vertex's edges; label updates are
+    kept in the table labels. Of several updates to one edge in an epoch the greatest ts counts; at equal ts an addition and a deletion cancel each other.
     """
 
     spark: SparkSession
@@ -44,6 +48,19 @@ class GraphStream:
     compact_every: int = 16
     label: Callable[[Column], Column] | None = None
     match: Callable[[list[Column], Column], Column] | None = None
+    query: mining.PatternQuery | None = None
+    label_key: str | None = None
+    keep_triangles: bool = False
+    hops: int = 0
+
+    def __post_init__(self) -> None:
+        if self.kind == "pattern":
+            self.query = self.query or mining.PatternQuery(self.k, match=self.match)
+            self.k = self.query.k
+        if self.label_key and self.kind != "color":
+            raise ValueError("label_key is for color queries")
+        if self.keep_triangles and (self.kind, self.k) != ("clique", 4):
+            raise ValueError("triangles are kept for 4-cliques")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         jvm = self.spark._jvm
@@ -67,9 +84,15 @@ class GraphStream:
 
     def preload(self, pairs: DataFrame) -> None:
         """The graph before the first batch, as epoch -1."""
-        g = Graph.from_pairs(pairs)
-        self._put(g.edges, "base", -1)
+        if self.query and self.query.init:
+            self.query.init()
+        self._put(Graph.from_pairs(pairs).edges, "base", -1)
+        g = self.snapshot(-1)
         self._put_totals(self._census(g), -1)
+        if self.keep_triangles:
+            self._put(mining.triangles(g).select(F.array("a", "b", "c").alias("vertices"), F.lit(True).alias("alive")), "triangles", -1)
+        if self.hops:
+            self._put(mining.keyword_distances(g, self.hops, self._label()), "distances", -1)
 
     def _label(self) -> Callable[[Column], Column]:
         return self.label or (mining.keyword_label if self.kind == "keyword" else lambda v: mining.colour(v, self.k))
@@ -79,24 +102,49 @@ class GraphStream:
         if self.kind == "motif":
             rows = mining.motif_census(g, self.k).select("pattern_id", F.col("cnt").alias("delta"))
         elif self.kind in ("clique", "color"):
-            n = mining.kclique_count(g, self.k) if self.kind == "clique" else mining.color_clique_count(g, self.k, label=self._label())
+            g = Graph(g.edges, self.vertex_labels(-1)) if self.label_key else g
+            n = mining.kclique_count(g, self.k) if self.kind == "clique" else mining.color_clique_count(g, self.k, label=None if self.label_key else self._label())
             rows = n.select(F.lit(0).alias("pattern_id"), F.col("found").alias("delta"))
         else:
-            found = mining.keyword_sets(g, self.k, label=self._label()) if self.kind == "keyword" else mining.PatternQuery(self.k, match=self.match).run(g)
+            found = mining.keyword_sets(g, self.k, label=self._label()) if self.kind == "keyword" else self.query.rows(g)
             rows = found.agg(F.count(F.lit(1)).alias("delta")).select(F.lit(0).alias("pattern_id"), "delta")
         return rows.withColumns({"added": none, "removed": none})
 
-    def _changes(self, after: Graph, before: Graph, added: DataFrame, removed: DataFrame) -> DataFrame:
+    def _changes(self, after: Graph, before: Graph, added: DataFrame, removed: DataFrame, epoch: int) -> DataFrame:
         args = (after, before, added, removed, self.k)
         if self.kind == "motif":
             return changes.motif_changes(*args)
         if self.kind == "keyword":
             return changes.keyword_changes(*args, self._label(), mining.KEYWORDS)
         if self.kind == "pattern":
-            return changes.pattern_changes(*args, self.match)
+            return changes.pattern_changes(*args[:4], self.query)
+        if self.keep_triangles:
+            triangles, rows = changes.cached_clique4_changes(*args[:4], self.triangles(epoch - 1))
+            self._put(triangles.select("vertices", (F.col("status") == "add").alias("alive")), "triangles", epoch)
+            return rows
+        if self.label_key:
+            old, now = self.vertex_labels(epoch - 1), self.vertex_labels(epoch)
+            moved = self._table("labels", LABELS).where((F.col("epoch") == epoch) & F.col("dst").isNull() & (F.col("key") == self.label_key)).select(F.col("src").alias("id"))
+            return changes.labelled_clique_changes(*args, old, now, moved)
         rows = changes.clique_changes(*args)
         return rows if self.kind == "clique" else rows.where(F.size(F.array_distinct(F.transform("vertices", self._label()))) == self.k)
 
+    def triangles(self, epoch: int) -> DataFrame:
+        """(vertices): the kept triangles as of the end of epoch."""
+        rows = self._table("triangles", "vertices array<long>, alive boolean, epoch long").where(F.col("epoch") <= epoch)
+        return rows.groupBy("vertices").agg(F.max_by("alive", "epoch").alias("alive")).where("alive").select("vertices")
+
+    def distances(self) -> DataFrame:
+        """(v, w, d): the kept distances to keywords, as of the last epoch."""
+        rows = self._table("distances", "v long, w int, d int, epoch long")
+        last = rows.groupBy(F.col("v").alias("_v")).agg(F.max("epoch").alias("_last"))
+        return rows.join(last, (F.col("v") == F.col("_v")) & (F.col("epoch") == F.col("_last"))).where("w is not null").select("v", "w", "d")
+
+    def vertex_labels(self, epoch: int) -> DataFrame:
+        """(id, label) of label_key as of the end of epoch; of several updates in an epoch the greatest value counts."""
+        rows = self._table("labels", LABELS).where((F.col("epoch") <= epoch) & F.col("dst").isNull() & (F.col("key") == self.label_key))
+        return rows.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("epoch", F.col("value").cast("long").alias("label"))).alias("m")).select("id", "m.label")
+
     def _put_totals(self, rows: DataFrame, epoch: int) -> None:
         self._put(rows.select(F.col("pattern_id").cast("int").alias("pattern_id"), F.col("delta").cast("long").alias("delta"), F.col("added").cast("long").alias("added"), F.col("removed").cast("long").alias("removed")), "deltas", epoch)
 
@@ -119,6 +167,7 @@ class GraphStream:
 
     def apply(self, updates: DataFrame, epoch: int) -> None:
         """One batch: its changes, the tables and the output."""
+        began = time.perf_counter()
         before = self.snapshot(epoch - 1)
         self._put(self.netted(updates, before), "log", epoch)
         labels = updates.where(F.col("tpe").isin("VertexLabelMod", "EdgeLabelMod", "4", "5"))
@@ -126,8 +175,12 @@ class GraphStream:
         now = self._table("log", LOG).where(F.col("epoch") == epoch)
         added, removed = now.where("alive").select("src", "dst"), now.where("not alive").select("src", "dst")
         after = self.snapshot(epoch)
-        rows = self._changes(after, before, added, removed)
+        if self.query and self.query.pupdate:
+            self.query.pupdate(added, removed, epoch)
+        rows = self._changes(after, before, added, removed, epoch)
         self._put(rows, "changes", epoch)
+        if self.hops:
+            self._put(changes.distance_changes(after, before, added, removed, self.hops, self._label(), mining.KEYWORDS), "distances", epoch)
         rows = self.spark.read.parquet(f"{self.folder}/changes/epoch={epoch}")
         if self.kind != "motif":
             n = lambda s: F.count_if(F.col("status") == s)
@@ -137,9 +190,18 @@ class GraphStream:
         self._put_totals(delta, epoch)
         if (epoch + 1) % self.compact_every == 0:
             self._put(after.edges.select("src", "dst"), "base", epoch)
+        n = rows.agg(F.count(F.lit(1)).alias("n"), (F.count_if("cached") if self.keep_triangles else F.lit(None).cast("long")).alias("hits")).first()
+        done = [(time.perf_counter() - began, added.count(), removed.count(), n["n"], n["hits"])]
+        self._put(self.spark.createDataFrame(done, BATCH), "batches", epoch)
+        if self.query and self.query.output:
+            self.query.output(rows)
         if self.output:
             self.output(rows, epoch)
 
+    def batches(self) -> DataFrame:
+        """One row an epoch: seconds, the edges added and removed, the changes, and of these cache_hits, those that a kept triangle closed (null unless keep_triangles)."""
+        return self._table("batches", f"{BATCH}, epoch long")
+
     def totals(self) -> DataFrame:
         """(ts, pattern_id, delta, added, removed, total)"""
         rows = self._table("deltas", "pattern_id int, delta long, added long, removed long, epoch long").withColumnRenamed("epoch", "ts")
