@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -24,8 +26,10 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Slice(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
+    """Bytes start to end of a file, the first of which has number first among all records."""
+
+    def __init__(self, path: str, start: int, end: int, first: int):
+        self.path, self.start, self.end, self.first = path, start, end, first
 
 
 class RecordReader(DataSourceReader):
@@ -34,19 +38,27 @@ class RecordReader(DataSourceReader):
 
     def partitions(self) -> list[Slice]:
         at, inner = _open(self.path)
-        size = at.get_file_info(inner).size
-        if size % 8:
-            raise ValueError(f"{self.path} has {size} bytes, no multiple of 8")
-        return [Slice(i, min(i + self.split, size)) for i in range(0, size, self.split)] or [Slice(0, 0)]
+        info = at.get_file_info(inner)
+        files = [info] if info.type == fs.FileType.File else sorted((f for f in at.get_file_info(fs.FileSelector(inner)) if f.base_name.startswith("part-")), key=lambda f: f.path)
+        out, first = [], 0
+        for f in files:
+            if f.size % 8:
+                raise ValueError(f"{f.path} has {f.size} bytes, no multiple of 8")
+            out += [Slice(f.path, i, min(i + self.split, f.size), first + i // 8) for i in range(0, f.size, self.split)]
+            first += f.size // 8
+        return out or [Slice(inner, 0, 0, 0)]
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        at, inner = _open(self.path)
-        with at.open_input_file(inner) as f:
+        if part.start == part.end:
+            return
+        at, _ = _open(self.path)
+        with at.open_input_file(part.path) as f:
             for start in range(part.start, part.end, 8 << 20):
                 data = f.read_at(min(8 << 20, part.end - start), start)
-                pos = pa.array(np.arange(start // 8, start // 8 + len(data) // 8, dtype=np.int64))
+                first = part.first + (start - part.start) // 8
+                pos = pa.array(np.arange(first, first + len(data) // 8, dtype=np.int64))
                 if self.kind == "edges":
                     pair = np.frombuffer(data, "<u4").reshape(-1, 2).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pos, pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["pos", "src", "dst"])
@@ -55,7 +67,7 @@ class RecordReader(DataSourceReader):
 
 
 class BinaryGraphSource(DataSource):
-    """format("binary_graph"): little-endian records of 8 bytes; kind edges (u32 src, u32 dst: pos, src, dst) or offsets (u64: v, off)."""
+    """format("binary_graph"): little-endian records of 8 bytes in a file, or in a folder's files part-* in the order of their names; kind edges (u32 src, u32 dst: pos, src, dst) or offsets (u64: v, off)."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,6 +93,53 @@ def binary_offsets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binary_graph").option("kind", "offsets").option("path", path).load()
 
 
+def write_binary(g: Graph, folder: str) -> None:
+    """Writes g's edges in both directions, in order, to folder/edges, and the position of each vertex's first one, for all ids from 0 to the largest, to
+    folder/offsets, each as files part-*. A task writes a file of its own attempt under a temporary name and renames it to its part's: the bytes are the same whichever attempt is last.
+    Ids must be from 0 to 2^32 - 1."""
+    from motifloom.plans.cut import pinned
+
+    spark = g.edges.sparkSession
+    both = pinned(g.symmetric().repartitionByRange("v", "u").sortWithinPartitions("v", "u").withColumn("p", F.spark_partition_id()))
+    _write_parts(both.repartition("p").sortWithinPartitions("p", "v", "u"), f"{folder}/edges", ["v", "u"], "<u4")
+    most = both.agg(F.max("v")).first()[0]
+    n = both.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    every = spark.range(0, 0 if most is None else most + 1).withColumnRenamed("id", "v").join(n, "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"), F.expr("cast(v div 65536 as int)").alias("p"))
+    held = every.groupBy("p").agg(F.sum("n").alias("m"))  # one row for 65536 ids
+    before = Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select("p", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("b"))
+    own = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    off = every.withColumn("o", F.coalesce(F.sum("n").over(own), F.lit(0))).join(base, "p").select("p", "v", (F.col("o") + F.col("b")).alias("off"))
+    _write_parts(off.repartition("p").sortWithinPartitions("p", "v"), f"{folder}/offsets", ["off"], "<u8")
+
+
+def _write_parts(rows: DataFrame, folder: str, columns: list[str], kind: str) -> None:
+    """Rows, in order by p, to one file for each p."""
+    at, inner = _open(folder)
+    at.create_dir(inner, recursive=True)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, inner = _open(folder)
+        out, of, names = None, None, []
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                at.move(*names)
+
+        for b in batches:
+            for p, part in b.groupby("p", sort=True):
+                if p != of:
+                    close()
+                    of, names = p, [f"{inner}/.tmp-{p:08d}-{uuid.uuid4().hex}", f"{inner}/part-{p:08d}"]
+                    out = at.open_output_stream(names[0], compression=None)
+                out.write(part[columns].to_numpy(kind).tobytes())
+        close()
+        yield pd.DataFrame({"done": [True]})
+
+    rows.mapInPandas(write, "done boolean").write.format("noop").mode("overwrite").save()
+
+
 def misplaced(edges: DataFrame, offsets: DataFrame) -> DataFrame:
     """What doesn't hold between an edge list and its offsets: vertices (v, off, first, degree, kept) whose edges don't begin at their offset or aren't together."""
     own = edges.groupBy(F.col("src").alias("v")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("degree"))
