@@ -1,6 +1,6 @@
 """Golden tiny graphs, properties against brute force, and the functions on masks."""
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -129,6 +129,86 @@ def test_motif5_counts_every_set(spark):
     assert len(got) > 1
 
 
+@pytest.mark.parametrize("k", [4, 5, 6, 7])
+def test_census_of_larger_sets(spark, k):
+    """Patterns are told apart as isomorphism does: their number and counts against canonical forms by all permutations."""
+    edges = [(i, (i + 1) % 8) for i in range(8)] + [(0, 3), (1, 5), (2, 6)]
+    want = {}
+    for s, inside in brute_sets([tuple(sorted(e)) for e in edges], k):
+        at = {v: i for i, v in enumerate(s)}
+        form = min(sum(1 << masks.bit(p[at[a]], p[at[b]]) for a, b in inside) for p in permutations(range(k)))
+        want[form] = want.get(form, 0) + 1
+    got = census(mining.motif_census(graph(spark, edges), k))
+    assert got == want if k > 4 else sorted(got.values()) == sorted(want.values())
+
+
+def test_too_many_vertices(spark):
+    with pytest.raises(ValueError, match="from 2 to 8"):
+        mining.motif_census(graph(spark, [(0, 1)]), 9)
+    with pytest.raises(ValueError, match="too many"):
+        masks.patterns(6)
+
+
+def test_canonical_orders_are_the_enumerations(spark):
+    edges = PETERSEN + [(0, 7), (1, 8)]
+    for k in (3, 4, 5):
+        for r in expand.induced(graph(spark, edges), k).collect():
+            vs = sorted(r[:k])
+            mask = sum(1 << masks.bit(i, j) for i in range(k) for j in range(i) if (vs[j], vs[i]) in edges or (vs[i], vs[j]) in edges)
+            order, in_order = masks.canonical_order(mask, k)
+            assert [vs[i] for i in order] == list(r[:k]) and in_order == r["mask"]
+
+
+def test_induced_without_lists(spark):
+    g = graph(spark, PETERSEN + [(0, 7), (1, 8), (2, 9)])
+    odd = lambda vs, c: (c % 4 != 3) if vs else F.lit(True)
+    few = lambda vs, mask: masks.n_edges(mask) <= len(vs)
+    for k in (2, 3, 4, 5):
+        for args in ((), (odd,), (None, few), (odd, few)):
+            assert sorted(map(tuple, expand.induced(g, k, *args, lists=True).collect())) == sorted(map(tuple, expand.induced(g, k, *args, lists=False).collect()))
+
+
+def test_star_of_many_leaves(spark):
+    """A hub makes neither wedges nor long rows: motifs in closed form, cliques, an epoch at the hub, a search with a filter."""
+    from motifloom.streaming import changes
+
+    n = 100_000
+    leaves = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    g = Graph(leaves.unionByName(spark.createDataFrame([(1, 2), (3, 4)], "src long, dst long")))
+    got = census(mining.motif4_closed(g))
+    # stars of three leaves, triangles with a tail: each of the two triangles and another leaf
+    assert got == {87: n * (n - 1) * (n - 2) // 6 - 2 * (n - 2), 107: 2 * (n - 2)}
+    assert mining.kclique_count(g, 3).first()["found"] == 2
+    added = spark.createDataFrame([(1, 3), (5, 6)], "src long, dst long")
+    after = Graph(g.edges.unionByName(added))
+    assert changes.clique_changes(after, g, added, added.limit(0), 3).count() == 2
+    near = mining.PatternQuery(3, pfilter=lambda vs, c: c <= 5)
+    assert near.rows(g).count() == 10
+
+
+def test_labels_from_a_table(spark):
+    edges = list(combinations(range(6), 2))
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 0), (4, 9)], "id long, label long")
+    g = Graph(graph(spark, edges).edges, labels)
+    assert mining.color_clique_count(g, 3).first()["found"] == sum(len({x, y, z}) == 3 for x, y, z in combinations([1, 1, 2, 0, 9], 3))
+    assert {tuple(r["vertices"]) for r in mining.keyword_sets(g, 3).collect()} == {(0, 2, 3), (1, 2, 3)}
+    assert {tuple(r["vertices"]) for r in mining.keyword_sets(g, 4).collect()} == {(a, 2, 3, *p) for a in (0, 1) for p in ((), (4,), (5,))}
+    assert [r["line"] for r in mining.distance_lines(mining.keyword_distances(graph(spark, [(0, 4), (4, 5)]), 1)).orderBy("line").collect()] == ["0: 0 - -", "4: 1 - -"]
+
+
+def test_written_binary_graph(spark, tmp_path):
+    from motifloom.sources import files
+
+    g = graph(spark, [(0, 1), (1, 2), (0, 2), (5, 70_000)])
+    files.write_binary(g, str(tmp_path))
+    files.write_binary(g, str(tmp_path))  # a second run replaces the first
+    e, off = files.binary_edges(spark, str(tmp_path / "edges"), split=8), files.binary_offsets(spark, str(tmp_path / "offsets"))
+    assert [tuple(r) for r in e.orderBy("pos").collect()] == [(i, *p) for i, p in enumerate([(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (5, 70_000), (70_000, 5)])]
+    assert off.count() == 70_001 and off.where("v = 70000").first()["off"] == 7 and files.misplaced(e, off).count() == 0
+    files.write_binary(graph(spark, []), str(tmp_path / "none"))
+    assert files.binary_edges(spark, str(tmp_path / "none" / "edges")).count() == 0
+
+
 def test_keyword_search(spark):
     g = graph(spark, [(0, 3), (1, 3), (2, 3), (3, 4), (0, 1), (4, 32), (1, 2)])
     sets = lambda k, mode: {tuple(r["vertices"]) for r in mining.keyword_sets(g, k, mode).collect()}

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from motifloom.graph import Graph
@@ -126,7 +127,7 @@ def test_keyword_color_and_pattern_changes(spark):
     got = {(tuple(r["vertices"]), r["status"]) for r in rows}
     inside = lambda s, e: {p for p in combinations(s, 2) if p in e}
     assert got == {(s, "add") for s in now - was} | {(s, "del") for s in was - now} | {(s, "mod") for s in was & now if inside(s, before) != inside(s, after)}
-    wedge = changes.pattern_changes(*args, 3, lambda vs, mask: F.bit_count(mask) == 2)
+    wedge = changes.pattern_changes(*args, mining.PatternQuery(3, match=lambda vs, mask: F.bit_count(mask) == 2))
     n = {r["status"]: r["n"] for r in wedge.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     count = lambda e: sum(len(inside(s, e)) == 2 for s in combinations(ids, 3))
     assert n.get("add", 0) - n.get("del", 0) == count(after) - count(before)
@@ -158,6 +159,106 @@ def test_miner(spark, tmp_path, capsys):
     assert seen == [(0, [((1, 2, 3), "add")])]
     assert [(r["ts"], r["total"]) for r in m.totals().orderBy("ts").collect()] == [(-1, 1), (0, 2), (1, 0)]
     m.stop()
-    for kind in (["-a", "1"], ["-a", "3", "-k", "4"], ["-b", "2", "-u", "1", "-o", str(tmp_path / "a")], ["-b", "2", "-r", "-o", str(tmp_path / "r")]):
+    np.array([0, 2, 4, 7], "<u8").tofile(tmp_path / "off")
+    (tmp_path / "more").write_text("1 3\n0 3\n")
+    (tmp_path / "meta").write_text("vertices=4\n")
+    for kind in (["-a", "1"], ["-a", "3", "-k", "4"], ["-b", "2", "-u", "1", "-o", str(tmp_path / "a")], ["-b", "2", "-r", "-o", str(tmp_path / "r")], ["-i", "-k", "4", "-n", "4", "-m", "-M", str(tmp_path / "meta")],
+                 ["-k", "4", "-i", "-b", "1", "-p", str(tmp_path / "more"), "-o", str(tmp_path / "p")]):
         main(["-f", str(tmp_path / "g"), *kind])
-    assert "total" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "total" in out and "cache_hits" in out
+    for wrong in (["-n", "3"], ["-d", str(tmp_path / "off")]):
+        with pytest.raises(SystemExit):
+            main(["-f", str(tmp_path / "g"), *wrong])
+
+
+def graphs(spark, rng, ids, n):
+    """Two random graphs and what they differ by, as arguments of the changes, and as sets."""
+    every = list(combinations(ids, 2))
+    before, after = set(rng.sample(every, n)), set(rng.sample(every, n + 2))
+    table = lambda e: spark.createDataFrame(sorted(e), "src long, dst long")
+    return (Graph(table(after)), Graph(table(before)), table(after - before), table(before - after)), before, after
+
+
+OWN = {
+    "pfilter": mining.PatternQuery(3, pfilter=lambda vs, c: F.abs(vs[-1] - c) <= 3 if vs else c != 2),
+    "filter": mining.PatternQuery(4, filter=lambda vs, mask: F.bit_count(mask) <= len(vs), match=lambda vs, mask: vs[1] < vs[2]),
+    "symmetric": mining.PatternQuery(4, symmetric=True, pfilter=lambda vs, c: c % 5 != 4),
+    "python": mining.PatternQuery(3, python_match=lambda b: (b["v1"] - b["v0"]) % 2 == b["mask"] % 2),
+}
+
+
+@pytest.mark.parametrize("name", OWN)
+def test_own_queries_are_the_differences_of_static_runs(spark, name):
+    own, k = OWN[name], OWN[name].k
+    args, before, after = graphs(spark, random.Random(8), range(8), 20 if own.symmetric else 14)
+    found = lambda g: {tuple(sorted(r[:k])) for r in own.rows(g).collect()}
+    now, was = found(args[0]), found(args[1])
+    rows = changes.pattern_changes(*args, own).collect()
+    inside = lambda s, e: {p for p in combinations(s, 2) if p in e}
+    assert {(tuple(r["vertices"]), r["status"]) for r in rows} == {(s, "add") for s in now - was} | {(s, "del") for s in was - now} | {(s, "mod") for s in was & now if inside(s, before) != inside(s, after)}
+    assert now - was and was - now
+    for r in rows:
+        edges = {(r["vertices"][j], r["vertices"][i]) for i in range(k) for j in range(i) if r["new_edges"] >> (i * (i - 1) // 2 + j) & 1}
+        assert edges == (inside(r["vertices"], after) - before if r["status"] != "del" else set())
+
+
+def test_own_queries_streamed(spark, tmp_path):
+    from motifloom.api import GraphMiner
+
+    path = [(1, 2), (2, 3), (3, 50)]
+    calls = []
+    for i, own in enumerate((mining.PatternQuery(3, pfilter=lambda vs, c: c < 10, init=lambda: calls.append("init"), pupdate=lambda a, r, t: calls.append((a.count(), r.count(), t)), output=lambda df: calls.append(df.count())), mining.PatternQuery(3, symmetric=True))):
+        m = GraphMiner(spark, str(tmp_path / str(i)), algorithm=own)
+        m.start()
+        m.batch_new([("EdgeAdd", a, b, 0, None, None) for a, b in path])
+        static = own.rows(Graph.from_pairs(spark.createDataFrame(path, "src long, dst long"))).count()
+        assert m.totals().where("ts = 0").first()["total"] == static == 1 - i
+    assert calls == ["init", (3, 0, 0), 1]
+    row = m.batches().first()
+    assert (row["edges_added"], row["edges_removed"], row["changes"], row["epoch"]) == (3, 0, 0, 0) and row["seconds"] > 0
+
+
+def test_cliques_tell_their_new_edges(spark):
+    for seed in range(3):
+        args, before, after = graphs(spark, random.Random(seed), range(7), 13)
+        for k in (2, 3, 4, 5):
+            cliques = lambda e: {s for s in combinations(range(7), k) if all(p in e for p in combinations(s, 2))}  # noqa: B023, E731
+            want = {(s, "add", frozenset(set(combinations(s, 2)) - before)) for s in cliques(after) - cliques(before)} | {(s, "del", frozenset()) for s in cliques(before) - cliques(after)}
+            got = {(tuple(r["vertices"]), r["status"], frozenset((r["vertices"][j], r["vertices"][i]) for i in range(k) for j in range(i) if r["new_edges"] >> (i * (i - 1) // 2 + j) & 1)) for r in changes.clique_changes(*args, k).collect()}
+            assert got == want
+
+
+def test_kept_triangles(spark):
+    for seed in range(3):
+        args, before, after = graphs(spark, random.Random(20 + seed), range(7), 15)
+        kept = mining.triangles(args[1]).select(F.array("a", "b", "c").alias("vertices"))
+        triangles, rows = changes.cached_clique4_changes(*args, kept)
+        plain = {tuple(map(str, r)) for r in changes.clique_changes(*args, 4).collect()}
+        got = rows.collect()
+        assert {tuple(map(str, r[:4])) for r in got} == plain and all(r["cached"] == (r["new_edges"].bit_count() == 1) for r in got if r["status"] == "add")
+        assert triangles.count() == changes.clique_changes(*args, 3).count()
+
+
+def test_kept_distances(spark, tmp_path):
+    rng, ids = random.Random(5), [*range(10), 32, 33, 34, 40]
+    s = GraphStream(spark, str(tmp_path / "g"), k=4, kind="keyword", hops=2)
+    s.preload(spark.createDataFrame(rng.sample(list(combinations(ids, 2)), 12), "src long, dst long"))
+    for epoch in range(3):
+        rows = [(rng.choice(["EdgeAdd", "EdgeDel"]), *p) for p in rng.sample(list(combinations(ids, 2)), 14)] + ([("VertexDel", 3, None)] if epoch == 1 else [])
+        s.apply(updates(spark, rows), epoch)
+        want = {tuple(r) for r in mining.keyword_distances(s.snapshot(epoch), 2).collect()}
+        assert {tuple(r) for r in s.distances().collect()} == want
+        assert s.totals().where(F.col("ts") == epoch).first()["total"] == mining.keyword_sets(s.snapshot(epoch), 4).count()
+
+
+def test_labels_change_colours(spark, tmp_path):
+    s = GraphStream(spark, str(tmp_path / "g"), kind="color", label_key="c")
+    s.preload(spark.createDataFrame([(0, 1), (1, 2), (0, 2), (2, 3), (1, 3)], "src long, dst long"))
+    label = lambda rows: spark.createDataFrame([("VertexLabelMod", v, None, 0, "c", str(x)) for v, x in rows] + [("VertexLabelMod", 0, None, 0, "other", "9"), ("EdgeLabelMod", 0, 1, 0, "c", "7")], UPDATE)
+    s.apply(label([(0, 1), (1, 2), (2, 3)]), 0)
+    s.apply(label([(3, 1)]).unionByName(updates(spark, [("EdgeDel", 0, 1)])), 1)
+    s.apply(label([(3, 2)]), 2)
+    assert [(r["added"], r["removed"], r["total"]) for r in s.totals().orderBy("ts").collect()] == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (0, 1, 0)]
+    with pytest.raises(ValueError, match="label_key"):
+        GraphStream(spark, "x", kind="keyword", label_key="c")
