@@ -256,9 +256,10 @@ def _shares(left: np.ndarray, i: int, times: int, n: int) -> list[int]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """pieces (with doc_id, piece, length) with columns sequence_id and offset; pieces of one sequence follow one another from 0 without gaps.
 
-    Rows with equal doc_id and piece are packed one by one. Other columns stay (those two are replaced). Empty: no rows.
+    Rows with equal doc_id and piece, null ids too, are packed one by one. Other columns stay (those two are replaced, and mf_salt, mf_own, mf_base and mf_rank
+    go). A length must be from 0 to capacity. Empty: no rows.
     """
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = pieces.drop("sequence_id", "offset", "mf_salt", "mf_own", "mf_base", "mf_rank")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a length, capacity at most
         counts[r["length"]] = r["n"]

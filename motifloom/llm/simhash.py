@@ -10,21 +10,21 @@ A task returns a spanning forest of its links, so copies by the thousand don't b
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import WORD, connected_components, pinned
+from motifloom.llm.common import WORD, connected_components, partitions, pinned
 
 SEED = 42
 #: So many fingerprints meet so many others in one task at most.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 TILE = 512
 LOWER = {i: i + 32 for i in range(65, 91)}
 _words = re.compile(WORD).findall
@@ -90,46 +90,63 @@ def _sorted(fp: np.ndarray) -> np.ndarray:
     return fp[np.lexsort((fp, q[:, 2], q[:, 0]))]
 
 
-def linked(home: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (fingerprint, root), of the links between home and home or others; all are distinct uint64."""
-    home, others = _sorted(home), _sorted(others)
-    both = np.concatenate((home, others))
-    root = np.arange(len(both))
+class Forest:
+    """Sets of positions, joined by links."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
 
-    def find(i: int) -> int:
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
+    def tops(self, i: np.ndarray) -> np.ndarray:
+        i = self.root[i]
+        while (self.root[i] != i).any():
+            i = self.root[i]
+        return i
+
+    def join(self, p: int, q: int) -> bool:
+        p, q = self.find(p), self.find(q)
+        self.root[max(p, q)] = min(p, q)
+        return p != q
+
+    def join_all(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Joins one link for each pair of roots, until none is left."""
+        while len(i):
+            p, q = self.tops(i), self.tops(j)
+            apart = p != q
+            i, j = i[apart], j[apart]
+            for one in set(zip(p[apart].tolist(), q[apart].tolist(), strict=True)):
+                self.join(*one)
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        """The positions that aren't roots, and their roots."""
+        top = self.tops(np.arange(len(self.root)))
+        at = np.flatnonzero(top != np.arange(len(top)))
+        return at, top[at]
+
+
+def linked(home: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (fingerprint, root), of the links between home and home or others; all are distinct uint64."""
+    home, others = _sorted(home), _sorted(others)
+    both = np.concatenate((home, others))
+    forest, n = Forest(len(both)), len(home)
     ours, theirs = _tiles(home), _tiles(others)
-    n = len(home)
     for x, (a0, a1, alo, ahi) in enumerate(ours):
         a = home[a0:a1, None]
         for shift, (b0, b1, blo, bhi) in [*((0, t) for t in ours[x:]), *((n, t) for t in theirs)]:
             if np.maximum(0, np.maximum(alo - bhi, blo - ahi)).sum() > radius:
                 continue
             near = np.bitwise_count(a ^ both[None, b0 + shift : b1 + shift]) <= radius
-            if not near.any():
-                continue
-            i, j = near.nonzero()
-            i, j = i + a0, j + b0 + shift
-            while len(i):  # joins one link for each pair of roots, until none is left
-                ri, rj = root[i], root[j]
-                while (root[ri] != ri).any():
-                    ri = root[ri]
-                while (root[rj] != rj).any():
-                    rj = root[rj]
-                apart = ri != rj
-                i, j = i[apart], j[apart]
-                for p, q in set(zip(ri[apart].tolist(), rj[apart].tolist(), strict=True)):
-                    p, q = find(p), find(q)
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-    while (root[root] != root).any():
-        root = root[root]
-    moved = np.flatnonzero(root != np.arange(len(both)))
-    return both[moved], both[root[moved]]
+            if near.any():
+                i, j = near.nonzero()
+                forest.join_all(i + a0, j + b0 + shift)
+    at, top = forest.moved()
+    return both[at], both[top]
 
 
 def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
@@ -143,24 +160,48 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
     grid = []
     for (h, l), n in count.items():
         around = sum(count.get((h + i, l + j), 0) for i, j in steps) - (n if n <= block else 0)
-        grid.append((h, l, -(-n // block), max(1, -(-around // block))))
+        grid.append((h, l, -(-n // block), max(1, -(-around // block)), n + around))
     if not grid:
         return spark.createDataFrame([], "u long, v long")
-    cells = F.broadcast(spark.createDataFrame(grid, "ch int, cl int, n_home int, n_visit int"))
+    grid = shared_tasks(grid, 2 * block)
+    cells = F.broadcast(spark.createDataFrame(grid, "ch int, cl int, n_home int, n_visit int, task int"))
     spread = F.xxhash64("fp")
     home = placed.join(cells, (F.col("hi") == F.col("ch")) & (F.col("lo") == F.col("cl")))
-    home = home.select("fp", "ch", "cl", F.pmod(spread, F.col("n_home")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n_visit") - 1)).alias("y"), F.lit(True).alias("home"))
+    home = home.select("fp", "ch", "cl", "task", F.pmod(spread, F.col("n_home")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n_visit") - 1)).alias("y"), F.lit(True).alias("home"))
     near = F.array(*(F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j")) for i, j in steps))
     visit = placed.select("fp", "hi", "lo", F.explode(near).alias("s")).select("fp", "s", (F.col("hi") + F.col("s.i")).alias("vh"), (F.col("lo") + F.col("s.j")).alias("vl"))
     visit = visit.join(cells, (F.col("vh") == F.col("ch")) & (F.col("vl") == F.col("cl"))).where("n_home > 1 or s.i != 0 or s.j != 0")
-    visit = visit.select("fp", "ch", "cl", F.explode(F.sequence(F.lit(0), F.col("n_home") - 1)).alias("x"), F.pmod(spread, F.col("n_visit")).cast("int").alias("y"), F.lit(False).alias("home"))
+    visit = visit.select("fp", "ch", "cl", "task", F.explode(F.sequence(F.lit(0), F.col("n_home") - 1)).alias("x"), F.pmod(spread, F.col("n_visit")).cast("int").alias("y"), F.lit(False).alias("home"))
 
     def meet(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        fp, own = b["fp"].to_numpy(np.int64).view(np.uint64), b["home"].to_numpy(bool)
-        u, v = linked(fp[own], fp[~own], radius)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    return home.unionByName(visit).groupBy("ch", "cl", "x", "y").applyInPandas(meet, "u long, v long")
+        out = []
+        for _, cell in b.groupby(["ch", "cl"]):
+            fp, own = cell["fp"].to_numpy(np.int64).view(np.uint64), cell["home"].to_numpy(bool)
+            out.append(np.stack(linked(fp[own], fp[~own], radius)).view(np.int64))
+        u, v = np.concatenate(out, 1)
+        return pd.DataFrame({"u": u, "v": v})
+
+    return home.unionByName(visit).groupBy("task", "x", "y").applyInPandas(meet, "u long, v long")
+
+
+def shared_tasks(grid: list[tuple], most: int) -> list[tuple]:
+    """grid rows (..., home blocks, visitor blocks, rows) with a task instead of rows: cells of one block pair share tasks of about as many rows as the
+    largest of them has, most at most, so that no task has far more than others; other cells have one of their own."""
+    out, task, free = [], 0, []
+    single = [g for g in grid if g[-3] == g[-2] == 1]
+    size = min(most, max((g[-1] for g in single), default=0))
+    for g in sorted(single, key=lambda g: -g[-1]):  # the fullest task that has room; few classes, so few tasks
+        at = min((i for i, r in enumerate(free) if r >= g[-1]), key=lambda i: free[i], default=None)
+        if at is None:
+            at = len(free)
+            free.append(max(size, g[-1]))
+        free[at] -= g[-1]
+        out.append((*g[:-1], at))
+    for g in grid:
+        if not (g[-3] == g[-2] == 1):
+            out.append((*g[:-1], len(free) + task))
+            task += 1
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
@@ -180,7 +221,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, block: int = B
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Candidates whose shingles are in one task at most, twice.
+#: Texts of one group of candidates whose shingles are in one task at most, twice.
 VERIFIED = 1 << 12
 #: Bytes of sketches or shingles in one task at most, twice.
 HELD = 1 << 26
@@ -272,39 +313,50 @@ def near_pairs(n: np.ndarray, odd: list[bytes], home: np.ndarray, similarity: fl
 
 
 def _cells(rows: DataFrame, similarity: float, block: int, each_bytes: float) -> DataFrame:
-    """rows (n, id, ...) with the cell, home block, visitor block and home flag of each task that they go to; similar sizes share a task.
+    """rows (n, id, ...) with the task, cell (to), home block, visitor block and home flag of each place that they go to; similar sizes share a cell.
     A row has about each_bytes a shingle."""
     cell = F.floor(F.log("n") / F.lit(-float(np.log(similarity))) + 1e-9).cast("int")
     placed = rows.withColumn("cell", cell)
     count = {r["cell"]: r["m"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).collect()}  # one row for each size class
     most = {c: max(1, min(block, int(HELD / (each_bytes * similarity ** -(c + 2.0))))) for c in count}
     around = lambda c: count.get(c + 1, 0) + (count[c] if count[c] > most[c] else 0)
-    grid = [(c, -(-m // most[c]), max(1, -(-around(c) // most[c]))) for c, m in count.items()]
-    cells = F.broadcast(rows.sparkSession.createDataFrame(grid, "to int, n_home int, n_visit int"))
+    grid = [(c, -(-m // most[c]), max(1, -(-around(c) // most[c])), int((m + around(c)) * similarity ** -(c + 2.0))) for c, m in count.items()]  # by shingles
+    grid = shared_tasks(grid, int(2 * HELD / each_bytes))
+    cells = F.broadcast(rows.sparkSession.createDataFrame(grid, "to int, n_home int, n_visit int, task int"))
     spread = F.xxhash64("id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = placed.join(cells, F.col("cell") == F.col("to"))
-    home = own.select(*rows.columns, "to", F.pmod(spread, F.col("n_home")).cast("int").alias("x"), each("n_visit").alias("y"), F.lit(True).alias("home"))
+    home = own.select(*rows.columns, "to", "task", F.pmod(spread, F.col("n_home")).cast("int").alias("x"), each("n_visit").alias("y"), F.lit(True).alias("home"))
     visits = placed.withColumn("at", F.explode(F.array(F.col("cell"), F.col("cell") - 1))).join(cells, F.col("at") == F.col("to")).where("n_home > 1 or at != cell")
-    visit = visits.select(*rows.columns, "to", each("n_home").alias("x"), F.pmod(spread, F.col("n_visit")).cast("int").alias("y"), F.lit(False).alias("home"))
+    visit = visits.select(*rows.columns, "to", "task", each("n_home").alias("x"), F.pmod(spread, F.col("n_visit")).cast("int").alias("y"), F.lit(False).alias("home"))
     return home.unionByName(visit)
 
 
+def _by_cell(rows: DataFrame, of: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """of each cell of each task."""
+
+    def meet(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([of(cell.reset_index(drop=True)) for _, cell in b.groupby("to")], ignore_index=True)
+
+    return rows.groupBy("task", "x", "y").applyInPandas(meet, schema)
+
+
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = BLOCK, verified: int = VERIFIED) -> DataFrame:
     """doc_id, component_id for every row of docs (doc_id, text); component_id is the smallest doc_id reachable over pairs of texts whose
     sets of k-word shingles (A-Z lower-cased) have a Jaccard similarity of at least similarity.
 
     Odd sketches find the candidates by tiled comparison; their shingles decide. Sketches differ in no more bits than the sets in
-    shingles, so no pair is left out, whatever its length. Texts of equal words, also of none, are one class. Rows with a null doc_id have component null.
+    shingles, so no pair is left out, whatever its length. Texts of equal words, also of none, are one class. Rows with a null doc_id take part; where
+    a component has no other rows its id is null. Repeated rows are all returned; extra columns are ignored. Empty table: no rows.
     """
     rows, found = _classified(docs, k, similarity, block, verified)
-    return _with_class(rows, found).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _with_class(rows, found).select("doc_id", "component_id")
 
 
 def _classified(docs: DataFrame, k: int, similarity: float, block: int, verified: int) -> tuple[DataFrame, DataFrame]:
     """The sketches of docs, and of each class of equal words (_w1, _w2) its component and the least doc_id of that."""
     rows = pinned(sketches(docs, k, similarity))
-    same = rows.where("doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.first("odd").alias("odd"))
+    same = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.first("odd").alias("odd"))
     # a number of its own for each class: rows of one doc_id may have different texts
     classes = pinned(same.withColumn("id", F.monotonically_increasing_id()))
     if not classes.where("n > 0").take(1):
@@ -327,16 +379,24 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
         return x["n"].to_numpy(np.int64), x["odd"].tolist(), x["home"].to_numpy(bool)
 
     def candidates(x: pd.DataFrame) -> pd.DataFrame:
-        hit = np.zeros(len(x), bool)
+        forest, ids = Forest(len(x)), x["id"].to_numpy(np.int64)
         for i, j in near_pairs(*arrays(x), similarity):
-            hit[i] = hit[j] = True
-        return pd.DataFrame({"id": x["id"].to_numpy()[hit]})
-
-    some = pinned(_cells(classes.select("n", "id", "odd"), similarity, block, 0.5).groupBy("to", "x", "y").applyInPandas(candidates, "id long").distinct())
-    chosen = classes.join(some, "id")
+            forest.join_all(i, j)
+        at, top = forest.moved()
+        return pd.DataFrame({"u": ids[at], "v": ids[top]})
+
+    # texts that candidate pairs join are a group; only within it shingles are compared
+    forest = pinned(_by_cell(_cells(classes.select("n", "id", "odd"), similarity, block, 0.5), candidates, "u long, v long"))
+    grouped = connected_components(forest).withColumnRenamed("component", "grp")
+    chosen = pinned(classes.join(grouped, F.col("id") == F.col("node")).drop("node"))
+    total = chosen.agg(F.sum("n")).first()[0] or 0
+    n_tasks = max(partitions(docs.sparkSession), int(8.5 * total / HELD) + 1)
+    # the rows of a group that one task can't hold go to blocks, and each pair of blocks to a task
+    sizes = chosen.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / verified), F.ceil(F.sum("n") * 8.5 / HELD)).cast("int").alias("blocks"))
     lows = pinned(chosen.select("low").distinct())
     few = lows.count() <= 500_000  # 8 bytes each
-    picked = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(F.broadcast(lows) if few else lows, "low", "left_semi")
+    lows = lows.withColumnRenamed("low", "_low")
+    picked = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(F.broadcast(lows) if few else lows, F.col("low").eqNullSafe(F.col("_low")), "left_semi").select("text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -346,45 +406,47 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
 
     held = picked.mapInPandas(sets, "w1 long, w2 long, shingles binary").groupBy("w1", "w2").agg(F.min("shingles").alias("shingles"))
 
-    def verify(x: pd.DataFrame) -> pd.DataFrame:
+    def verify(x: pd.DataFrame) -> list[tuple]:
         ids, shingles = x["id"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in x["shingles"]]
-        root, out = np.arange(len(ids)), []
+        forest, out = Forest(len(ids)), []
         for left, right in near_pairs(*arrays(x), similarity):
             while len(left):
-                while (root[root] != root).any():
-                    root = root[root]
-                open_ = root[left] != root[right]  # a pair whose ends are joined already needs no look
+                open_ = forest.tops(left) != forest.tops(right)  # a pair whose ends are joined already needs no look
                 left, right = left[open_], right[open_]
                 for i, j in zip(left[:CHUNK].tolist(), right[:CHUNK].tolist(), strict=True):
-                    p, q = int(root[i]), int(root[j])
-                    while p != root[p]:
-                        p = int(root[p])
-                    while q != root[q]:
-                        q = int(root[q])
-                    if p != q:
+                    if forest.find(i) != forest.find(j):
                         both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
                         if both >= similarity * (len(shingles[i]) + len(shingles[j]) - both) - 1e-9:
-                            root[max(p, q)] = min(p, q)
+                            forest.join(i, j)
                             out.append((ids[i], ids[j]))
                 left, right = left[CHUNK:], right[CHUNK:]
+        return out
+
+    def each_group(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pair for _, x in b.groupby("grp") for pair in verify(x.reset_index(drop=True))]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    rows = chosen.join(held, ["w1", "w2"]).select("n", "id", "odd", "shingles")
-    return _cells(rows, similarity, verified, 8.5).groupBy("to", "x", "y").applyInPandas(verify, "u long, v long")
+    rows = chosen.join(held, ["w1", "w2"]).join(sizes, "grp").select("n", "id", "odd", "shingles", "grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(n_tasks))).otherwise(F.col("grp"))
+    rows = rows.select("n", "id", "odd", "shingles", "grp", (F.col("blocks") > 1).alias("large"), task.alias("task"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("home"))
+    return rows.groupBy("large", "task", "x", "y").applyInPandas(each_group, "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of similar_documents: that of the smallest doc_id, of equal ids the first by text.
-    Rows of one doc_id with texts that aren't similar are apart. Rows with a null doc_id stay."""
+    """docs with one row of each component of similar_documents: that of the smallest doc_id (nulls last), of equal ids the first by text (nulls as empty).
+    Rows of one doc_id, or of none, with texts that aren't similar are apart. Other columns stay. Empty table: no rows."""
     rows, found = _classified(docs, k, similarity, BLOCK, VERIFIED)
     found = pinned(found)
-    each = pinned(_with_class(rows.where("doc_id is not null"), found).select("doc_id", "component_id"))
-    many = pinned(each.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many")))
-    gone = each.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).unionByName(many.select(F.col("_many").alias("_gone"))).distinct()
+    each = pinned(_with_class(rows, found).select("doc_id", "component_id"))
+    ids = each.where("doc_id is not null")
+    many = pinned(ids.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many")))
+    gone = ids.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).unionByName(many.select(F.col("_many").alias("_gone"))).distinct()
     gone = pinned(gone)
-    kept = docs.join(F.broadcast(gone) if gone.count() <= 500_000 else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    n_many = many.count()
-    if not n_many:
+    known = docs.where("doc_id is not null")
+    kept = known.join(F.broadcast(gone) if gone.count() <= 500_000 else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    n_many, none = many.count(), docs.where("doc_id is null")
+    if not n_many and not each.where("doc_id is null").take(1):
         return kept
 
     @F.pandas_udf("w1 long, w2 long")
@@ -392,7 +454,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
         w = np.array([digest(words_of(t)) for t in texts.array], np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1]})
 
-    again = docs.join(F.broadcast(many) if n_many <= 500_000 else many, F.col("doc_id") == F.col("_many")).withColumn("_d", words_digest("text"))
-    again = again.join(found, (F.col("_d.w1") == F.col("_w1")) & (F.col("_d.w2") == F.col("_w2"))).where(F.col("doc_id") == F.col("component_id"))
-    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("component").orderBy("text"))).where("_n = 1")
-    return kept.unionByName(first.select(*docs.columns))
+    again = known.join(F.broadcast(many) if n_many <= 500_000 else many, F.col("doc_id") == F.col("_many"), "left_semi").unionByName(none)
+    again = again.select(F.struct(*docs.columns).alias("_row"), words_digest("text").alias("_d"))
+    again = again.join(found, (F.col("_d.w1") == F.col("_w1")) & (F.col("_d.w2") == F.col("_w2"))).where(F.col("_row.doc_id").eqNullSafe(F.col("component_id")))
+    # combined before the shuffle, however many rows a component has
+    first = again.groupBy("component").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("_row"))
+    return kept.unionByName(first.select("_row.*"))

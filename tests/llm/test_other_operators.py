@@ -152,6 +152,8 @@ def test_chats(spark):
     marks = {r["conv_id"]: r["kept"] for r in chat.collapse_conversations(df).collect()}
     assert {k for k, v in marks.items() if v} == set(got) and len(marks) == 8
     assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "x" * 3_000_000), (2, 0, "user", "x" * 3_000_000), (2, 1, "assistant", "y")], TURNS)
+    assert [(r["conv_id"], len(r["text"])) for r in chat.format_chats(long).collect()] == [(2, 3_000_000 + len("<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\ny<|im_end|>\n"))]
 
 
 def test_warc_round_trip(spark):
@@ -249,6 +251,15 @@ def test_packing(spark, docs, prose):
     assert len(with_ids["ids"]) == with_ids["length"] == 3
 
 
+def test_packing_of_clashing_columns_and_ties(spark):
+    rows = [(None, 0, 100), (None, 0, 100), (1, 0, 156), (1, 0, 156), (2, 0, 256)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    for c in ("sequence_id", "offset", "mf_salt", "mf_rank", "n"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = packing.pack(df, capacity=256)
+    assert got.columns == ["doc_id", "piece", "length", "n", "sequence_id", "offset"] and assert_packed(got.collect(), 256) == 3
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_packing_plans(seed):
     rng = np.random.default_rng(seed)

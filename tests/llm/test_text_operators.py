@@ -86,7 +86,20 @@ def test_similar_documents(docs, corpus, verified):
     kept = simhash.drop_near_duplicates(docs(corpus + [(40, corpus[3][1]), (3, corpus[3][1]), (None, "x"), (None, "x")]))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
+    none = simhash.drop_near_duplicates(docs([(None, corpus[3][1]), (None, "A b"), (None, "a  b"), (7, corpus[3][1] + " more"), (None, None), (None, "")]).withColumn("component", F.lit(1)))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in none.collect()) == [(0, ""), (0, "A b"), (7, corpus[3][1] + " more")]
+
+
+def test_similar_documents_in_blocks_of_groups(docs, prose, monkeypatch):
+    """Groups that one task can't hold, one of which is a chain of pairs whose ends aren't similar."""
+    monkeypatch.setattr(simhash, "HELD", 3000)
+    start = prose(400).split()
+    chain = [(i, " ".join(start[8 * i : 8 * i + 120])) for i in range(30)]
+    near = prose(80)
+    group = [(100 + i, edited(near, i)) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(chain + group), verified=4).collect()}
+    assert got == {**{i: 0 for i, _ in chain}, **{i: 100 for i, _ in group}}
 
 
 def test_similar_documents_of_every_size(docs, prose):
@@ -158,6 +171,82 @@ def test_substrings(spark, docs, corpus, prose, k):
     assert got == brute_repeats(rows, k)
 
 
+@pytest.mark.parametrize("k,hash_bits", [(3, 8), (13, 6), (2, 3)])
+def test_substrings_whose_hashes_collide(spark, docs, corpus, prose, k, hash_bits, monkeypatch):
+    """With so few bits most windows are proposed for others; the second look must set all right, in several parts."""
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", 20)
+    shared = prose(30)
+    rows = [r for r in corpus if r[0] != 34] + [(50 + i, f"{prose(5)}  {shared}\n{prose(i)} {shared}") for i in range(6)] + [(None, corpus[3][1]), (None, shared)]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs(rows), k=k, batch_bytes=2000, hash_bits=hash_bits).collect()), key=str)
+    assert got == brute_repeats(rows, k)
+
+
+def brute_paths(rows, k):
+    """The lengths in edges of the maximal nonbranching paths of the graph of windows that two documents have."""
+    seen = {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - k + 1):
+            seen.setdefault(tuple(w[p : p + k]), set()).add(i)
+    edges = [e for e, ids in seen.items() if len(ids) > 1]
+    into, out = {}, {}
+    for e in edges:
+        out.setdefault(e[:-1], []).append(e)
+        into.setdefault(e[1:], []).append(e)
+    through = lambda v: len(into.get(v, [])) == len(out.get(v, [])) == 1
+    left, lengths = set(edges), []
+    for e in [e for e in edges if not through(e[:-1])] + edges:  # cycles last
+        n = 0
+        while e in left:
+            left.discard(e)
+            n += 1
+            if not through(e[1:]):
+                break
+            e = out[e[1:]][0]
+        lengths += [n] * bool(n)
+    return sorted(lengths)
+
+
+def test_compacted_paths(spark, docs, prose):
+    a, b, c, d = (prose(n) for n in (60, 30, 25, 40))
+    ring = "r1 r2 r3 r4 r5 r6 r7 r1 r2 r3"
+    rows = [(1, f"{a} {b}"), (2, f"{c} {a}"), (3, f"{b} {c}"), (4, f"{d[:80]} {a} {d}"), (5, f"{prose(9)} {d}"), (6, ring), (7, f"{ring} r4 r5"), (8, "same " * 30), (9, "same " * 20), (10, f"x {a[20:200]}"), (11, f"{b} {prose(3)} {c}")]
+    for k in (3, 5):
+        batches = substrings._Batches(docs(rows), k, 300, 1 << 20, "doc_id", "text", 64)
+        chains = substrings.written(batches.found(), "t").where("nodes is not null")
+        paths = {}
+        for r in substrings.compacted_paths(chains).collect():
+            paths.setdefault(r["path"], []).append((r["at"], r["n"]))
+        for parts in paths.values():
+            at = 0
+            for start, n in sorted(parts):
+                assert start == at
+                at += n
+        assert sorted(sum(n for _, n in parts) for parts in paths.values()) == brute_paths(rows, k)
+        words = {i: t.split() for i, t in rows}
+        spans = substrings.repeated_spans(docs(rows), k=k, batch_bytes=300).collect()
+        for r in spans:
+            assert words[r["doc_id"]][r["word"] :][: r["n_words"]] == words[r["src_doc_id"]][r["src_word"] :][: r["n_words"]] and r["src_doc_id"] < r["doc_id"] and r["n_words"] >= k
+        covered = {(r["doc_id"], r["word"] + j) for r in spans for j in range(r["n_words"])}
+        assert len(covered) == sum(x[2] for x in brute_repeats(rows, k))
+
+
+def test_pointers_along_rows_and_rings(spark):
+    rows = [(i, i - 1, 2) for i in range(1, 40)] + [(100 + i, 100 + (i + 6) % 7, 1) for i in range(7)] + [(201, 200, 5)]
+    links = spark.createDataFrame([(p, b, n) for p, b, n in rows], "piece long, before long, length int")
+    got = {r["piece"]: (r["path"], r["at"]) for r in substrings.jumped(links).collect()}
+    assert got == {**{i: (0, 2 * i) for i in range(1, 40)}, **{100 + i: (100, i) for i in range(1, 7)}, 201: (200, 5)}
+    assert substrings.jumped(links.limit(0)).count() == 0
+
+
+def test_substrings_without_ids(spark, docs, prose):
+    """Rows without an id lie in many batches and aren't earlier for one another."""
+    shared = prose(30)
+    rows = [(None, f"{shared} {prose(4)}") for _ in range(60)] + [(1, f"{prose(3)} {shared[:90]}"), (2, prose(8))]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs(rows), k=5, batch_bytes=500).collect()), key=str)
+    assert got == brute_repeats(rows, 5)
+
+
 def test_substrings_of_nothing_and_clashing_names(spark, docs):
     assert substrings.remove_repeats(docs([])).count() == 0
     rows = docs([(1, "a b c"), (2, "a b c")]).withColumn("n_words", F.lit("x")).withColumn("mf_batch", F.lit("y"))
