@@ -12,18 +12,24 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold. The model learns from docs with labels, of the folds that op7 learns from."""
+    """Documents that score below the threshold. The model learns from docs with labels, of the folds that op7 learns from.
+
+    Every row is judged by its text alone: null ids and repeated rows make no difference, null and empty texts score as texts without a
+    feature and stay. Without a toxic label all rows stay. Empty table: no rows. Other columns than COLUMNS go, in all but the last stage."""
     model = queries.toxicity_model(spark, sf_dir, docs)
     return toxicity.scores(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a similarity of 0.8 or more on five-word shingles."""
+    """One document of each group of texts with a similarity of 0.8 or more on five-word shingles: that of the smallest id, null ids last, of equal
+    ids the first by text. Null and empty texts, and those without a word, are one group. Empty table: no rows."""
     return simhash.drop_near_duplicates(docs, k=5, similarity=0.8).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 13-word passages that start in an earlier one; a text that loses nothing stays as it is, one that loses all its words goes."""
+    """Documents without the 13-word passages that start in one with a smaller id; a text that loses nothing stays as it is (null, too), one that loses all its words goes.
+
+    A null id is larger than any other, and rows of one id, or of none, aren't earlier for one another. n_chars is counted anew for texts that lose words. Empty table: no rows."""
     found = substrings.remove_repeats(docs, k=13)
     cut = F.col("n_removed") > 0
     found = found.where("n_removed = 0 or n_removed < n_words")
@@ -32,13 +38,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item. Those with a null doc_id stay."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that contain no benchmark item to four fifths of its five-word shingles. Rows are judged one by one, also those with a null or repeated id; null
+    and empty texts stay. Empty tables: no rows, or all of docs."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents that are left, packed into sequences of 2048 tokens."""
+    """The pieces of the documents that are left, packed into sequences of 2048 tokens. Null texts are empty: one token, the end. Rows with a
+    null or repeated id are packed one by one. Empty table: no rows."""
     return packing.pack_documents(docs, capacity=2048)
 
 
@@ -50,7 +57,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the classifier nor the packing; the tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the packing; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
