@@ -59,6 +59,29 @@ CORE = ", ".join(
     + [f"g{i} AS MATERIALIZED (SELECT v FROM (SELECT src AS v FROM r{i - 1} UNION ALL SELECT dst FROM r{i - 1}) GROUP BY v HAVING count(*) >= 6), r{i} AS MATERIALIZED (SELECT src, dst FROM r{i - 1} WHERE src IN (SELECT v FROM g{i}) AND dst IN (SELECT v FROM g{i}))" for i in range(1, 25)]
 )
 
+KTS = "kk AS (SELECT a, b, c, d, greatest(p.batch, r.batch, o.batch, x.batch, y.batch, z.batch) AS ts, [p.batch, r.batch, o.batch, x.batch, y.batch, z.batch] AS every FROM k4 JOIN h p ON p.src = a AND p.dst = b JOIN h r ON r.src = a AND r.dst = c JOIN h o ON o.src = a AND o.dst = d JOIN h x ON x.src = b AND x.dst = c JOIN h y ON y.src = b AND y.dst = d JOIN h z ON z.src = c AND z.dst = d)"
+STEPS = "(SELECT unnest([CAST(-1 AS BIGINT), 0, 1, 2, 3]) AS k)"
+LABEL = "lab AS (SELECT p_partkey AS id, p_size % 3 AS label FROM part WHERE p_size < 50)"
+
+
+def grown(table: str) -> str:
+    """A stream's totals, from table (ts: the batch that completes a match)."""
+    return f"SELECT k AS ts, CAST(CASE WHEN k < 0 THEN 0 ELSE (SELECT count(*) FROM {table} WHERE ts = k + 1) END AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, CAST((SELECT count(*) FROM {table} WHERE ts <= k + 1) AS BIGINT) AS total FROM {STEPS}"
+
+
+def sets(k: int, few: str) -> str:
+    """s1 to sk: the connected sets of a graph f of the edges with few, as sorted lists; m: the edges in each of the last."""
+    ctes = [f"f AS (SELECT src, dst FROM e WHERE {few})", "fs AS (SELECT src AS v, dst AS u FROM f UNION ALL SELECT dst, src FROM f)", "s2 AS (SELECT [src, dst] AS x FROM f)"]
+    ctes += [f"s{i} AS (SELECT DISTINCT list_sort(list_append(x, u)) AS x FROM (SELECT x, unnest(x) AS v FROM s{i - 1}) JOIN fs USING (v) WHERE NOT list_contains(x, u))" for i in range(3, k + 1)]
+    return ", ".join([*ctes, f"m AS (SELECT x, count(*) AS n FROM (SELECT x, unnest(x) AS src FROM s{k}) JOIN f USING (src) WHERE list_contains(x, dst) GROUP BY x)"])
+
+
+def at_each_step(select: str, *ctes: str) -> str:
+    """select by epoch, over e: the graph as of that epoch."""
+    inner = ", ".join(ctes)
+    return " UNION ALL ".join(f"SELECT CAST({t - 1} AS BIGINT) AS ts, ({select.format(with_=f'WITH e AS (SELECT src, dst FROM h WHERE batch <= {t}), {inner}')}) AS total" for t in range(5))
+
+
 ORACLE: dict[str, str] = {
     "edges_copurchase_returned": q("SELECT src, dst FROM e", E),
     "edges_customer_chain": q("SELECT src, dst FROM e", CHAIN),
@@ -104,6 +127,30 @@ ORACLE: dict[str, str] = {
     "clique_changes_mixed": q(f"SELECT status, {N} AS n FROM ch GROUP BY status", E, TRI, HIST,
         "tb AS (SELECT [x.batch, y.batch, z.batch] AS b FROM t JOIN h x ON x.src = a AND x.dst = b JOIN h y ON y.src = a AND y.dst = c JOIN h z ON z.src = b AND z.dst = c)",
         "ch AS (SELECT 'add' AS status FROM tb WHERE list_contains(b, 4) AND NOT list_contains(b, 1) UNION ALL SELECT 'del' FROM tb WHERE list_contains(b, 1) AND NOT list_contains(b, 4))"),
+    "neighbours_ts": q(f"SELECT 'all' AS side, v, {N} AS n, {S.format('u')} AS sum_u, {S.format('batch')} AS sum_ts FROM (SELECT src AS v, dst AS u, batch FROM o UNION ALL SELECT dst, src, batch FROM o) GROUP BY v UNION ALL SELECT 'above', src, {N}, {S.format('dst')}, {S.format('batch')} FROM o GROUP BY src UNION ALL SELECT 'below', dst, {N}, {S.format('src')}, {S.format('batch')} FROM o GROUP BY dst", E, HIST, "o AS (SELECT * FROM h WHERE batch <= 2)"),
+    "binary_edges_read": q(f"SELECT v, min(pos) AS first, max(pos) AS last, {S.format('u')} AS sum_u FROM (SELECT v, u, row_number() OVER (ORDER BY v, u) - 1 AS pos FROM s) GROUP BY v", E, SYM),
+    "binary_offsets_read": q("SELECT i.v, CAST((SELECT count(*) FROM s WHERE s.v < i.v) AS BIGINT) AS off FROM (SELECT CAST(unnest(range(0, (SELECT max(dst) FROM e) + 1)) AS BIGINT) AS v) i UNION ALL SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT)", E, SYM),
+    "binary_graph_triangles": q(f"SELECT {N} AS found FROM t", E, TRI),
+    "text_edges_read": q("SELECT src, dst FROM e", E),
+    "metadata_read": q("SELECT CAST(max(dst) + 1 AS BIGINT) AS vertices FROM e", E),
+    "shuffled_replay_sizes": q(f"SELECT batch, {N} AS n FROM h GROUP BY batch", E, HIST),
+    "motif5_by_edges": q(f"SELECT CAST(n AS INT) AS n_edges, {N} AS cnt FROM m GROUP BY n", E, sets(5, "src % 4 = 0 AND dst % 4 = 0")),
+    "motif6_by_edges": q(f"SELECT CAST(n AS INT) AS n_edges, {N} AS cnt FROM m GROUP BY n", E, sets(6, "src % 8 = 0 AND dst % 8 = 0")),
+    "induced_by_edges": q(MOTIF4, E, SYM, DEG, TRI, K4, M4),
+    "keyword_dist_lines": q("SELECT concat(v, ':', ' ', coalesce(CAST(min(d) FILTER (WHERE w = 0) AS VARCHAR), '-'), ' ', coalesce(CAST(min(d) FILTER (WHERE w = 1) AS VARCHAR), '-'), ' ', coalesce(CAST(min(d) FILTER (WHERE w = 2) AS VARCHAR), '-')) AS line FROM (SELECT v, v & 31 AS w, 0 AS d FROM d WHERE v & 31 < 3 UNION ALL SELECT v, u & 31, 1 FROM s WHERE u & 31 < 3 UNION ALL SELECT x.v, y.u & 31, 2 FROM s x JOIN s y ON x.u = y.v WHERE y.u & 31 < 3) GROUP BY v", E, SYM, DEG),
+    "labelled_color_clique3": q(f"SELECT {N} AS found FROM t JOIN lab x ON x.id = a JOIN lab y ON y.id = b JOIN lab z ON z.id = c WHERE x.label <> y.label AND x.label <> z.label AND y.label <> z.label", E, TRI, LABEL),
+    "labelled_keyword_k3": q("SELECT array_to_string(x, '-') AS vertices FROM s3 WHERE (SELECT list_sort(list(label)) FROM lab WHERE list_contains(x, id)) = [0, 1, 2]", E, LABEL, sets(3, "src % 4 = 0 AND dst % 4 = 0")),
+    "clique_new_edges": q(f"SELECT ts, CAST(n AS INT) AS n_new, {N} AS n FROM (SELECT ts, CAST(x.batch = ts AS INT) + CAST(y.batch = ts AS INT) + CAST(z.batch = ts AS INT) AS n FROM tt JOIN h x ON x.src = a AND x.dst = b JOIN h y ON y.src = a AND y.dst = c JOIN h z ON z.src = b AND z.dst = c WHERE ts >= 1) GROUP BY ts, n", E, TRI, HIST, TTS),
+    "stream_color": q(grown("ct"), E, TRI, HIST, TTS, "ct AS (SELECT ts FROM tt WHERE a % 3 <> b % 3 AND a % 3 <> c % 3 AND b % 3 <> c % 3)"),
+    "stream_keyword": q(at_each_step("{with_} SELECT CAST((SELECT count(*) FROM c3) + (SELECT count(*) FROM c4) AS BIGINT)", SYM, DEG, KW) + f" UNION ALL SELECT CAST(100 + d AS BIGINT), {N} FROM near2 GROUP BY d", E, HIST, SYM, DEG,
+        "near2 AS (SELECT v, w, min(d) AS d FROM (SELECT v, v & 31 AS w, 0 AS d FROM d WHERE v & 31 < 3 UNION ALL SELECT v, u & 31, 1 FROM s WHERE u & 31 < 3 UNION ALL SELECT x.v, y.u & 31, 2 FROM s x JOIN s y ON x.u = y.v WHERE y.u & 31 < 3) GROUP BY v, w)"),
+    "stream_kept_triangles": q("SELECT k AS ts, CAST((SELECT count(*) FROM h WHERE batch = k + 1) AS BIGINT) AS edges_added, CAST((SELECT count(*) FROM kk WHERE ts = k + 1) AS BIGINT) AS changes, CAST((SELECT count(*) FROM kk WHERE ts = k + 1 AND len(list_filter(every, lambda b: b = ts)) = 1) AS BIGINT) AS cache_hits FROM (SELECT unnest([CAST(0 AS BIGINT), 1, 2, 3]) AS k)", E, TRI, K4, HIST, KTS),
+    "stream_pfilter": q(at_each_step("{with_} SELECT CAST((SELECT count(*) FROM t WHERE c - a <= 300 AND a % 2 = 1) + (SELECT count(*) FROM open3 WHERE greatest(m, p, r) - least(m, p, r) <= 300 AND least(m, p, r) % 2 = 1) AS BIGINT)", SYM, TRI, INDUCED3), E, HIST),
+    "stream_symmetric": q(f"SELECT k AS ts, CAST((SELECT count(*) FROM kk WHERE ts <= k + 1 AND d - a <= 1000 AND (a + b + c + d) % 2 = 0) AS BIGINT) AS total FROM {STEPS}", E, TRI, K4, HIST, KTS),
+    "stream_vertex_del": q("SELECT CAST(-1 AS BIGINT) AS ts, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, n0 AS total FROM n UNION ALL SELECT 0, 0, n0 - n1, n1 FROM n UNION ALL SELECT 1, 0, n1 - n2, n2 FROM n", E, TRI,
+        "n AS (SELECT CAST(count(*) AS BIGINT) AS n0, CAST(count(*) FILTER (WHERE a % 10 <> 0 AND b % 10 <> 0 AND c % 10 <> 0) AS BIGINT) AS n1, CAST(count(*) FILTER (WHERE a % 10 <> 0 AND b % 10 <> 0 AND c % 10 <> 0 AND a % 7 <> 0 AND b % 7 <> 0 AND c % 7 <> 0) AS BIGINT) AS n2 FROM t)"),
+    "stream_relabel": q(f"SELECT CAST(-1 AS BIGINT) AS ts, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS total UNION ALL SELECT 0, {N}, CAST(0 AS BIGINT), {N} FROM r WHERE was UNION ALL SELECT 1, CAST(count(*) FILTER (WHERE now AND NOT was) AS BIGINT), CAST(count(*) FILTER (WHERE was AND NOT now) AS BIGINT), CAST(count(*) FILTER (WHERE now) AS BIGINT) FROM r", E, TRI, LABEL,
+        "r AS (SELECT len(list_distinct([x.label, y.label, z.label])) = 3 AS was, len(list_distinct([(x.label + CAST(a % 5 = 0 AS INT)) % 3, (y.label + CAST(b % 5 = 0 AS INT)) % 3, (z.label + CAST(c % 5 = 0 AS INT)) % 3])) = 3 AS now FROM t JOIN lab x ON x.id = a JOIN lab y ON y.id = b JOIN lab z ON z.id = c)"),
     "running_total": q("SELECT ts, found, CAST(sum(found) OVER (ORDER BY ts) AS BIGINT) AS total FROM p", E, TRI, HIST, TTS, f"p AS (SELECT ts, {N} AS found FROM tt GROUP BY ts)"),
     "stream_replay_triangles": q("SELECT k AS ts, CAST(CASE WHEN k < 0 THEN 0 ELSE (SELECT count(*) FROM tt WHERE ts = k + 1) END AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, CAST((SELECT count(*) FROM tt WHERE ts <= k + 1) AS BIGINT) AS total FROM (SELECT unnest([CAST(-1 AS BIGINT), 0, 1, 2, 3]) AS k)", E, TRI, HIST, TTS),
     "custom_pattern": q("SELECT list_sort([m, p, r])[1] AS a, list_sort([m, p, r])[2] AS b, list_sort([m, p, r])[3] AS c FROM open3 WHERE m % 2 = 1 AND p % 2 = 0 AND r % 2 = 0", E, SYM, INDUCED3),
