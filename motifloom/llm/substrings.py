@@ -35,6 +35,8 @@ BUCKET_EDGES = 1 << 20
 MIN_BUCKETS = 256
 #: Rows of two or three numbers that are broadcast at most; hashes that one second look takes.
 BROADCAST_ROWS = 500_000
+#: Distinct spans that one task looks up in a batch's chains, about.
+ASKS = 1 << 12
 LAST = np.iinfo(np.int64).max
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -362,6 +364,10 @@ def _verified(spans: DataFrame, chains: DataFrame, pieces: DataFrame) -> DataFra
     parts = F.sort_array(F.collect_list(F.struct("start", "n", "path", "at"))).alias("parts")
     pieces = pieces.groupBy("batch", "place").agg(parts)  # no more than a chain has edges
     held = chains.join(pieces, ["batch", "place"]).select("batch", "place", "n", "doc_id", "word", "nodes", "parts")
+    # the questions of a batch whose passages many quote are shared by several tasks, each with the batch's chains
+    shares = _small(spans.groupBy("src_batch").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("shares")))
+    spans = spans.join(shares, "src_batch").withColumn("share", F.pmod(F.xxhash64("src_place", "n", "digest"), F.col("shares")).cast("int")).drop("shares")
+    held = held.join(shares.withColumnRenamed("src_batch", "batch"), "batch").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     granted_as = _arrow(GRANTED)
 
     def verify(key: tuple, asked: pa.Table, chains: pa.Table) -> pa.Table:
@@ -388,7 +394,7 @@ def _verified(spans: DataFrame, chains: DataFrame, pieces: DataFrame) -> DataFra
             out.append({"src_batch": x, "src_place": place, "n": n, "digest": digest, "src_doc_id": doc, "src_word": word + skip, "parts": own})
         return pa.Table.from_pylist(out, granted_as)
 
-    return spans.groupBy("src_batch").cogroup(held.groupBy("batch")).applyInArrow(verify, GRANTED)
+    return spans.groupBy("src_batch", "share").cogroup(held.groupBy("batch", "share")).applyInArrow(verify, GRANTED)
 
 
 def _spans(batches: _Batches) -> tuple[DataFrame, DataFrame]:
