@@ -217,8 +217,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, block: int = B
     grouped = roots.join(least, roots["node"] == least["fp"]).select("node", "component", "rep")
     lowest = grouped.groupBy("component").agg(F.min("rep").alias("low"))
     lowest = grouped.join(lowest, "component").select(F.col("node").alias("fp"), "low")
-    ids = least.join(lowest, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = pinned(least.join(lowest, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")))
+    few = ids.count() <= 500_000  # 16 bytes each
+    return prints.join(F.broadcast(ids) if few else ids, "fp").select("doc_id", "fp", "component_id")
 
 
 #: Texts of one group of candidates whose shingles are in one task at most, twice.
