@@ -152,6 +152,11 @@ def test_chats(spark):
     marks = {r["conv_id"]: r["kept"] for r in chat.collapse_conversations(df).collect()}
     assert {k for k, v in marks.items() if v} == set(got) and len(marks) == 8
     assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
+    none = spark.createDataFrame([(None, i % 7, "user", f"{i % 3}") for i in range(300)] + [(None, 0, None, None), (1, 0, "user", "0"), (2, 0, "user", "1"), (2, 1, "user", "x")], TURNS)
+    texts = sorted((str(r["conv_id"]), r["text"]) for r in chat.format_chats(none).collect())
+    turn = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    assert texts == sorted([("1", turn("user", "0")), ("2", turn("user", "1") + turn("user", "x")), ("None", turn("user", "2")), ("None", turn("", ""))])
+    assert sorted((str(r["conv_id"]), r["kept"]) for r in chat.collapse_conversations(none).collect()) == [("1", True), ("2", True), ("None", False), ("None", False), ("None", True), ("None", True)]
     long = spark.createDataFrame([(1, 0, "user", "x" * 3_000_000), (2, 0, "user", "x" * 3_000_000), (2, 1, "assistant", "y")], TURNS)
     assert [(r["conv_id"], len(r["text"])) for r in chat.format_chats(long).collect()] == [(2, 3_000_000 + len("<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\ny<|im_end|>\n"))]
 

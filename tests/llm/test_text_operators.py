@@ -207,7 +207,8 @@ def brute_paths(rows, k):
     return sorted(lengths)
 
 
-def test_compacted_paths(spark, docs, prose):
+def test_compacted_paths(spark, docs, prose, monkeypatch):
+    monkeypatch.setattr(substrings, "ASKS", 2)
     a, b, c, d = (prose(n) for n in (60, 30, 25, 40))
     ring = "r1 r2 r3 r4 r5 r6 r7 r1 r2 r3"
     rows = [(1, f"{a} {b}"), (2, f"{c} {a}"), (3, f"{b} {c}"), (4, f"{d[:80]} {a} {d}"), (5, f"{prose(9)} {d}"), (6, ring), (7, f"{ring} r4 r5"), (8, "same " * 30), (9, "same " * 20), (10, f"x {a[20:200]}"), (11, f"{b} {prose(3)} {c}")]
