@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motifloom.api import GraphMiner
 from motifloom.functions import masks
 from motifloom.graph import Graph
 from motifloom.operators import mining
@@ -373,6 +374,45 @@ def clique_new_edges(spark, sf_dir):
     return rows.groupBy("ts", masks.n_edges(F.col("new_edges")).alias("n_new")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def embedding_functions(spark, sf_dir):
+    """The triangles that the last epoch completes, as embeddings: a line for people, old degrees, what is left of two vertices, and that with an edge more."""
+    e = history(spark, sf_dir)
+    g = lambda upto: Graph(e.where(F.col("batch") <= upto).select("src", "dst"))
+    rows = changes.clique_changes(g(EPOCHS), g(EPOCHS - 1), e.where(F.col("batch") == EPOCHS), e.limit(0), 3)
+    vs, mask, new = F.col("vertices"), F.col("edges"), F.col("new_edges")
+    two, left = masks.truncate(vs, mask, 2)
+    old = [masks.old_degree(mask, new, i, 3).alias(f"old{i}") for i in range(3)]
+    return rows.select(masks.describe(vs, mask, new, 3).alias("line"), *old, masks.has(new, 2, 1).alias("bc_new"), F.size(two).alias("n_left"), left.alias("left_mask"), masks.connect(left, 2, 0, masks.has(new, 2, 0)).cast("int").alias("connected"))
+
+
+def miner_static(spark, sf_dir):
+    """The four algorithms by number, on a binary file."""
+    folder, out = _binary(spark, sf_dir), None
+    for number in (0, 1, 2, 3):
+        m = GraphMiner(spark, k=3, algorithm=number)
+        m.set_graph_input_files(f"{folder}/edges")
+        found = m.mine()
+        found = found.select("pattern_id", "cnt") if number == 1 else found.select(F.lit(0).alias("pattern_id"), F.col("found").alias("cnt")) if number in (0, 2) else count(found, "cnt").select(F.lit(0).alias("pattern_id"), "cnt")
+        rows = found.select(F.lit(number).alias("algorithm"), F.col("pattern_id").cast("int").alias("pattern_id"), "cnt")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def miner_stream(spark, sf_dir):
+    """A program that sends batches and gets changes back: what its callback saw, by epoch and status, and the same of the table of matches."""
+    e, seen, folder = history(spark, sf_dir), [], shared_folder(spark, "miner")
+    m = GraphMiner(spark, folder, 4)
+    m.graph = Graph(e.where("batch = 0").select("src", "dst"))
+    m.set_output_callback(lambda df, epoch: seen.extend((epoch, r["status"], r["n"], "callback") for r in df.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()))
+    m.start()
+    for t in range(1, EPOCHS):
+        m.batch_new(_update(e.where(F.col("batch") == t)))
+    m.batch_new(_update(e.where("batch = 1"), "EdgeDel"))
+    table = spark.read.parquet(f"{folder}/changes").groupBy(F.col("epoch").cast("long").alias("epoch"), "status").agg(F.count(F.lit(1)).alias("n")).withColumn("seen_by", F.lit("table"))
+    m.stop()
+    return spark.createDataFrame(seen, "epoch long, status string, n long, seen_by string").unionByName(table)
+
+
 def _update(rows: DataFrame, kind: str = "EdgeAdd", dst: str = "dst", key: str | None = None, value: str = "cast(null as string)") -> DataFrame:
     return rows.selectExpr(f"'{kind}' as tpe", "src", f"{dst} as dst", "cast(0 as long) as ts", f"{repr(key) if key else 'cast(null as string)'} as key", f"{value} as value")
 
@@ -477,6 +517,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     clique_changes_mixed, running_total, stream_replay_triangles, custom_pattern, custom_symmetric, embedding_masks,
     neighbours_ts, binary_edges_read, binary_offsets_read, binary_graph_triangles, text_edges_read, metadata_read, shuffled_replay_sizes, motif5_by_edges, motif6_by_edges, induced_by_edges,
     keyword_dist_lines, labelled_color_clique3, labelled_keyword_k3, clique_new_edges, stream_color, stream_keyword, stream_kept_triangles, stream_pfilter, stream_symmetric, stream_vertex_del, stream_relabel,
+    embedding_functions, miner_static, miner_stream,
 ]
 
 

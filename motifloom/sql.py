@@ -151,6 +151,10 @@ ORACLE: dict[str, str] = {
         "n AS (SELECT CAST(count(*) AS BIGINT) AS n0, CAST(count(*) FILTER (WHERE a % 10 <> 0 AND b % 10 <> 0 AND c % 10 <> 0) AS BIGINT) AS n1, CAST(count(*) FILTER (WHERE a % 10 <> 0 AND b % 10 <> 0 AND c % 10 <> 0 AND a % 7 <> 0 AND b % 7 <> 0 AND c % 7 <> 0) AS BIGINT) AS n2 FROM t)"),
     "stream_relabel": q(f"SELECT CAST(-1 AS BIGINT) AS ts, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS total UNION ALL SELECT 0, {N}, CAST(0 AS BIGINT), {N} FROM r WHERE was UNION ALL SELECT 1, CAST(count(*) FILTER (WHERE now AND NOT was) AS BIGINT), CAST(count(*) FILTER (WHERE was AND NOT now) AS BIGINT), CAST(count(*) FILTER (WHERE now) AS BIGINT) FROM r", E, TRI, LABEL,
         "r AS (SELECT len(list_distinct([x.label, y.label, z.label])) = 3 AS was, len(list_distinct([(x.label + CAST(a % 5 = 0 AS INT)) % 3, (y.label + CAST(b % 5 = 0 AS INT)) % 3, (z.label + CAST(c % 5 = 0 AS INT)) % 3])) = 3 AS now FROM t JOIN lab x ON x.id = a JOIN lab y ON y.id = b JOIN lab z ON z.id = c)"),
+    "embedding_functions": q("SELECT '[' || a || ' ' || b || ' ' || c || '] ' || a || '-' || b || x || ', ' || a || '-' || c || y || ', ' || b || '-' || c || z AS line, CAST((x = ' old')::INT + (y = ' old')::INT AS INT) AS old0, CAST((x = ' old')::INT + (z = ' old')::INT AS INT) AS old1, CAST((y = ' old')::INT + (z = ' old')::INT AS INT) AS old2, z = ' new' AS bc_new, 2 AS n_left, 1 AS left_mask, CASE WHEN y = ' new' THEN 3 ELSE 1 END AS connected FROM ne", E, TRI, HIST, TTS,
+        "ne AS (SELECT a, b, c, CASE WHEN x.batch = 4 THEN ' new' ELSE ' old' END AS x, CASE WHEN y.batch = 4 THEN ' new' ELSE ' old' END AS y, CASE WHEN z.batch = 4 THEN ' new' ELSE ' old' END AS z FROM tt JOIN h x ON x.src = a AND x.dst = b JOIN h y ON y.src = a AND y.dst = c JOIN h z ON z.src = b AND z.dst = c WHERE ts = 4)"),
+    "miner_static": q(f"SELECT 0 AS algorithm, 0 AS pattern_id, {N} AS cnt FROM t UNION ALL SELECT 1, pattern_id, cnt FROM m3 UNION ALL SELECT 2, 0, {N} FROM t WHERE a % 3 <> b % 3 AND a % 3 <> c % 3 AND b % 3 <> c % 3 UNION ALL SELECT 3, 0, {N} FROM c3", E, SYM, DEG, TRI, KW, f"m3 AS ({MOTIF3})"),
+    "miner_stream": q(f"SELECT epoch, status, {N} AS n, seen_by FROM (SELECT CAST(ts - 1 AS BIGINT) AS epoch, 'add' AS status FROM kk WHERE ts BETWEEN 1 AND 3 UNION ALL SELECT CAST(3 AS BIGINT), 'del' FROM kk WHERE ts <= 3 AND list_contains(every, 1)), (SELECT unnest(['callback', 'table']) AS seen_by) GROUP BY ALL", E, TRI, K4, HIST, KTS),
     "running_total": q("SELECT ts, found, CAST(sum(found) OVER (ORDER BY ts) AS BIGINT) AS total FROM p", E, TRI, HIST, TTS, f"p AS (SELECT ts, {N} AS found FROM tt GROUP BY ts)"),
     "stream_replay_triangles": q("SELECT k AS ts, CAST(CASE WHEN k < 0 THEN 0 ELSE (SELECT count(*) FROM tt WHERE ts = k + 1) END AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, CAST((SELECT count(*) FROM tt WHERE ts <= k + 1) AS BIGINT) AS total FROM (SELECT unnest([CAST(-1 AS BIGINT), 0, 1, 2, 3]) AS k)", E, TRI, HIST, TTS),
     "custom_pattern": q("SELECT list_sort([m, p, r])[1] AS a, list_sort([m, p, r])[2] AS b, list_sort([m, p, r])[3] AS c FROM open3 WHERE m % 2 = 1 AND p % 2 = 0 AND r % 2 = 0", E, SYM, INDUCED3),
