@@ -338,20 +338,21 @@ def compacted_paths(chains: DataFrame) -> DataFrame:
 
 def jumped(links: DataFrame) -> DataFrame:
     """(piece, path, at) of links (piece, before, length of before), at most one to and from each piece: the first piece of the row that piece is in,
-    and the length before it. Pointers double their reach by a join each round; where no more arrive, what is left is cycles, which are cut before their least piece."""
-    step = links.select("piece", F.col("before").alias("path"), F.col("length").cast("long").alias("at"))
-    done, left = None, step.count()
-    while left:
-        # a pointer has arrived where its end has none
+    and the length before it. Pointers double their reach by each of two joins a round; where no more arrive, what is left is cycles, which are cut before their least piece."""
+
+    def hop(step: DataFrame) -> DataFrame:
+        """Each pointer as far again; there: its end has none, so it has arrived."""
         ends = step.select(F.col("piece").alias("_p"), F.col("path").alias("_path"), F.col("at").alias("_at"))
-        step = pinned(step.join(ends, F.col("path") == F.col("_p"), "left").select("piece", F.coalesce("_path", "path").alias("path"), (F.col("at") + F.coalesce("_at", F.lit(0))).alias("at"), F.col("_path").isNull().alias("there")))
-        # those that have arrived still carry others
-        rest = step.where("not there").count()
-        if rest == left:
-            break
-        left = rest
-        step = step.select("piece", "path", "at")
-    done = step.select("piece", "path", "at") if not left else step.where("there").select("piece", "path", "at")
+        far = step.join(ends, F.col("path") == F.col("_p"), "left")
+        return far.select("piece", F.coalesce("_path", "path").alias("path"), (F.col("at") + F.coalesce("_at", F.lit(0))).alias("at"), F.col("_path").isNull().alias("there"))
+
+    step = links.select("piece", F.col("before").alias("path"), F.col("length").cast("long").alias("at"))
+    left, rest = None, links.count()
+    while rest and rest != left:
+        step = pinned(hop(hop(step.select("piece", "path", "at"))))  # those that have arrived still carry others
+        left, rest = rest, step.where("not there").count()
+    left = rest
+    done = step.where("there").select("piece", "path", "at") if left else step.select("piece", "path", "at")
     if left:
         ring = links.join(step.where("not there").select("piece"), "piece", "left_semi")
         heads = connected_components(ring, "piece", "before").where("node = component").select(F.col("node").alias("piece"))
