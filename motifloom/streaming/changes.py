@@ -13,26 +13,65 @@ from motifloom.functions import masks
 from motifloom.graph import Graph
 from motifloom.operators.mining import PatternQuery
 from motifloom.plans import expand
-from motifloom.plans.cut import pinned, small
+from motifloom.plans.cut import BROADCAST_ROWS, pinned, small
+
+
+def _flagged(before: Graph, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(src, dst, old, now) of the edges of both snapshots: 1 where the edge is there. added and removed are what they differ by."""
+    flag = lambda df, old, now: df.select("src", "dst", F.lit(old).alias("old"), F.lit(now).alias("now"))
+    kept, n = before.edges.select("src", "dst"), removed.count()
+    if not n:
+        return flag(kept, 1, 1).unionByName(flag(added, 0, 1))
+    gone = removed.select("src", "dst")
+    kept = kept.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, ["src", "dst"], "left_anti")
+    return flag(kept, 1, 1).unionByName(flag(added, 0, 1)).unionByName(flag(removed, 1, 0))
+
+
+def _inserted(mask: Column, at: Column, k: int) -> Column:
+    """A mask of k vertices as one of k + 1, where a vertex without edges comes in before position at."""
+    out = mask  # at the end nothing moves
+    for place in range(k):
+        moved = F.lit(0)
+        for i in range(k):
+            for j in range(i):
+                b = F.shiftright(mask, masks.bit(i, j)).bitwiseAND(F.lit(1))
+                moved = moved.bitwiseOR(F.shiftleft(b, masks.bit(i + (i >= place), j + (j >= place))))
+        out = F.when(at == place, moved).otherwise(out)
+    return out
 
 
-def touched_sets(before: Graph, added: DataFrame, changed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(vertices): sets of k vertices, connected by edges before or added, that hold both ends of a changed edge. Seeded by changed (src, dst):
-    each level only takes the edges of the sets' vertices. accept(vertices, new) prunes what is grown from a seed."""
-    both = Graph(before.edges.select("src", "dst").unionByName(added.select("src", "dst")))
-    sets, sym = changed.select(F.array("src", "dst").alias("vertices")).distinct(), both.symmetric()
-    for _ in range(k - 2):
-        sets = pinned(sets)
-        sets = expand.grow(expand.near(sym, sets), sets, accept)
+def touched_sets(before: Graph, added: DataFrame, removed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """vertices, old, now: sets of k vertices, connected by edges of either snapshot, that hold both ends of a changed edge, with their masks in both. Seeded by the
+    changed edges (or those in seeds: src, dst, new). A level joins the vertices with their edges, a candidate's bits are put together where equal sets meet, and the
+    graph is shuffled only where the sets are counted to be many. accept(vertices, new) prunes what is grown from a seed."""
+    edges = _flagged(before, added, removed)
+    both = F.array(*(F.struct(F.col(a).alias("v"), F.col(b).alias("u")) for a, b in (("src", "dst"), ("dst", "src"))))
+    sym = edges.select("old", "now", F.explode(both).alias("e")).select("e.v", "e.u", F.col("old").alias("o"), F.col("now").alias("n"))
+    if seeds is None:
+        seeds = added.select("src", "dst", F.lit(True).alias("new")).unionByName(removed.select("src", "dst", F.lit(False).alias("new")))
+    sets = seeds.distinct().select(F.array("src", "dst").alias("vertices"), F.when(F.col("new"), 0).otherwise(1).alias("old"), F.when(F.col("new"), 1).otherwise(0).alias("now"))
+    for size in range(2, k):
+        sets = sets if size == 2 else pinned(sets)
+        if size * sets.count() <= BROADCAST_ROWS:
+            rows = sym.join(F.broadcast(sets.select("*", F.explode("vertices").alias("v"))), "v")
+        else:
+            rows = sets.select("*", F.explode("vertices").alias("v")).join(expand.near(sym, sets), "v")
+        rows = rows.where(~F.array_contains("vertices", F.col("u")))
+        if accept:
+            rows = rows.where(accept(F.col("vertices"), F.col("u")))
+        place = lambda x: F.size(F.filter("vertices", lambda y: y < x))
+        rows = rows.withColumns({"at": place(F.col("u")), "of": place(F.col("v"))}).withColumn("of", F.col("of") + (F.col("of") >= F.col("at")).cast("int"))
+        high, low = F.greatest("at", "of"), F.least("at", "of")
+        bit = F.call_function("shiftleft", F.lit(1), (high * (high - 1) / 2).cast("int") + low)
+        mask = lambda name, there: _inserted(F.col(name), F.col("at"), size).bitwiseOR(F.when(F.col(there) == 1, bit).otherwise(0))  # noqa: B023, E731
+        rows = rows.select(F.array_sort(F.array_append("vertices", F.col("u"))).alias("vertices"), mask("old", "o").alias("old"), mask("now", "n").alias("now"))
+        sets = rows.groupBy("vertices").agg(F.bit_or("old").alias("old"), F.bit_or("now").alias("now"))
     return sets
 
 
-def set_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    """vertices, old, now (masks in the snapshots before and after) of every touched set whose mask changed. added and removed are what the snapshots differ by;
-    seeds, if given, those of them that matter."""
-    changed = added.select("src", "dst").unionByName(removed.select("src", "dst")) if seeds is None else seeds
-    sets = pinned(touched_sets(before, added, changed, k, accept))
-    return expand.with_masks(sets, k, old=before.edges, now=after.edges).where("old != now")
+def set_changes(before: Graph, added: DataFrame, removed: DataFrame, k: int, accept: Callable[[Column, Column], Column] | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """vertices, old, now (masks in the snapshots before and after) of every touched set; a changed edge is in each, so no mask is as it was."""
+    return touched_sets(before, added, removed, k, accept, seeds)
 
 
 def cliques_of(g: Graph, seeds: DataFrame, k: int) -> DataFrame:
@@ -41,15 +80,19 @@ def cliques_of(g: Graph, seeds: DataFrame, k: int) -> DataFrame:
     A seed's common neighbours come from the edges of its end of lower degree and are looked up among those of the other; further vertices are joined
     in ascending order. So nothing is listed in one row, and only edges of the seeds' ends are shuffled for triangles.
     """
-    seeds = pinned(seeds.select("src", "dst").distinct())
-    rows, new = seeds.select("src", "dst", F.array("src", "dst").alias("vertices")), []
+    seeds = seeds.select("src", "dst")
+    n = seeds.count()
+    if not n:
+        return seeds.sparkSession.createDataFrame([], "vertices array<bigint>, seeds int")
+    rows, new = seeds, []
     if k > 2:
-        own = pinned(expand.near(g.symmetric(), rows))
+        few = (lambda df: F.broadcast(df)) if 2 * n <= BROADCAST_ROWS else (lambda df: df)
+        own = g.symmetric().join(few(seeds.select(F.explode(F.array("src", "dst")).alias("v"))), "v", "left_semi")
         d = own.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
-        of = lambda end: d.select(F.col("v").alias(end), F.col("d").alias(f"d{end}"))
+        of = lambda end: few(d.select(F.col("v").alias(end), F.col("d").alias(f"d{end}")))
         low = F.col("dsrc") <= F.col("ddst")
         ends = seeds.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", F.when(low, F.col("src")).otherwise(F.col("dst")).alias("v"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("other"))
-        wedges = ends.join(own, "v").where("u != other")
+        wedges = own.join(few(ends), "v").where("u != other")
         common = wedges.join(own.select(F.col("v").alias("other"), "u"), ["other", "u"], "left_semi").select("src", "dst", F.col("u").alias("x2"))
         rows = common = pinned(common) if k > 3 else common
         new = ["x2"]
@@ -74,7 +117,7 @@ def clique_changes(after: Graph, before: Graph, added: DataFrame, removed: DataF
 
 def motif_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int) -> DataFrame:
     """vertices, status (add, del or mod), old_id, new_id: sets that became, ceased to be or changed as connected subgraphs."""
-    rows = set_changes(after, before, added, removed, k)
+    rows = set_changes(before, added, removed, k)
     rows = rows if k <= masks.LISTED else pinned(rows)
     table = masks.occurring(rows, k, "old", "now").where("connected")
     old = table.select(F.col("mask").alias("old"), F.col("pattern_id").alias("old_id"))
@@ -95,7 +138,7 @@ def pattern_changes(after: Graph, before: Graph, added: DataFrame, removed: Data
         sets = pinned(clique_changes(after, before, added, removed, k).select("vertices").distinct())
         rows = expand.with_masks(sets, k, old=before.edges, now=after.edges)
     else:
-        rows = set_changes(after, before, added, removed, k, accept, seeds)
+        rows = set_changes(before, added, removed, k, accept, seeds)
     rows = rows if k <= masks.LISTED else pinned(rows)
     order = masks.orders(rows, k, "old", "now")
     for name in ("old", "now"):
@@ -126,7 +169,7 @@ def labelled_clique_changes(after: Graph, before: Graph, added: DataFrame, remov
     """clique_changes of the k-cliques whose labels (id, label) all differ, by old_labels before and new_labels after. relabelled (id): the vertices whose label changed."""
     moved = small(pinned(relabelled.select(F.col("id").alias("_id")).distinct()))
     of = lambda g: g.edges.select("src", "dst").join(moved, (F.col("src") == F.col("_id")) | (F.col("dst") == F.col("_id")), "left_semi")
-    now, was = (cliques_of(g, c.select("src", "dst").unionByName(of(g)), k).select("vertices") for g, c in ((after, added), (before, removed)))
+    now, was = (cliques_of(g, c.select("src", "dst").unionByName(of(g)).distinct(), k).select("vertices") for g, c in ((after, added), (before, removed)))
     sets = pinned(now.unionByName(was).distinct())
     rows = expand.with_masks(sets, k, old=before.edges, now=after.edges)
     each = sets.select("vertices", F.explode("vertices").alias("v"))
@@ -216,7 +259,7 @@ def keyword_changes(after: Graph, before: Graph, added: DataFrame, removed: Data
     ends = changed.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
     near = distances_near(both, ends, k - 2, label, keywords)
     close = changed.select("src", "dst", F.explode(F.array("src", "dst")).alias("v")).join(near, "v").groupBy("src", "dst").agg(F.count_distinct("w").alias("n")).where(F.col("n") == keywords)
-    changed = pinned(changed.join(close, ["src", "dst"], "left_semi"))
+    changed = pinned(changed.join(close, ["src", "dst"], "left_semi").select("src", "dst", "new"))
 
     out = None
     for size in range(max(2, keywords), k + 1):
