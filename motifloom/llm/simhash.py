@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, block: int = B
     lowest = grouped.groupBy("component").agg(F.min("rep").alias("low"))
     lowest = grouped.join(lowest, "component").select(F.col("node").alias("fp"), "low")
     ids = pinned(least.join(lowest, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")))
-    few = ids.count() <= 500_000  # 16 bytes each
+    few = ids.count() <= 100_000  # 16 bytes each
     return prints.join(F.broadcast(ids) if few else ids, "fp").select("doc_id", "fp", "component_id")
 
 
