@@ -360,10 +360,7 @@ def test_sql(spark, name):
 def test_pipeline(spark):
     import corpus_pipeline
 
-    docs, names = spark.read.parquet(f"{SF}/documents.parquet"), []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs.count(), stage(spark, docs, SF)
-        names.append(name)
-        assert docs.columns == corpus_pipeline.COLUMNS and 0.5 * before <= docs.count() <= before
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     rows = corpus_pipeline.run(spark, SF).collect()
-    assert assert_packed(rows, 2048) > 0 and {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+    kept = {r["doc_id"] for r in rows}
+    assert assert_packed(rows, 2048) > 0 and kept < ids and len(kept) > len(ids) / 2 and sum(r["piece"] == 0 for r in rows) == len(kept)
