@@ -101,7 +101,7 @@ def brute_census(edges, k):
 
 
 EDGES = st.sets(st.tuples(st.integers(0, 8), st.integers(0, 8)).filter(lambda x: x[0] < x[1]), max_size=24)
-FEW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+FEW = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 @FEW
