@@ -165,22 +165,24 @@ def pattern_changes(after: Graph, before: Graph, added: DataFrame, removed: Data
     return rows.select("vertices", status.alias("status"), F.when(F.col("now_is"), F.col("now")).otherwise(F.col("old")).alias("edges"), fresh.alias("new_edges"))
 
 
-def labelled_clique_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, old_labels: DataFrame, new_labels: DataFrame, relabelled: DataFrame) -> DataFrame:
-    """clique_changes of the k-cliques whose labels (id, label) all differ, by old_labels before and new_labels after. relabelled (id): the vertices whose label changed."""
-    moved = small(pinned(relabelled.select(F.col("id").alias("_id")).distinct()))
-    of = lambda g: g.edges.select("src", "dst").join(moved, (F.col("src") == F.col("_id")) | (F.col("dst") == F.col("_id")), "left_semi")
-    now, was = (cliques_of(g, c.select("src", "dst").unionByName(of(g)).distinct(), k).select("vertices") for g, c in ((after, added), (before, removed)))
-    sets = pinned(now.unionByName(was).distinct())
-    rows = expand.with_masks(sets, k, old=before.edges, now=after.edges)
-    each = sets.select("vertices", F.explode("vertices").alias("v"))
-    n = lambda name: F.count_distinct(name).alias(f"n_{name}")
-    for name, table in (("a", old_labels), ("b", new_labels)):
-        each = each.join(table.select(F.col("id").alias("v"), F.col("label").alias(name)), "v", "left")
-    rows = rows.join(each.groupBy("vertices").agg(n("a"), n("b")), "vertices")
-    whole = (1 << masks.T_N[k]) - 1
-    rows = rows.select("vertices", "old", "now", ((F.col("old") == whole) & (F.col("n_a") == k)).alias("was"), ((F.col("now") == whole) & (F.col("n_b") == k)).alias("is")).where("was != is")
-    fresh = F.when(F.col("is"), F.col("now").bitwiseAND(F.bitwise_not("old"))).otherwise(0)
-    return rows.select("vertices", F.when(F.col("is"), "add").otherwise("del").alias("status"), F.lit(whole).alias("edges"), fresh.alias("new_edges"))
+def labelled_clique_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, k: int, old_labels: DataFrame, new_labels: DataFrame) -> DataFrame:
+    """clique_changes of the k-cliques whose labels (id, label) all differ, by old_labels before and new_labels after.
+
+    Such a clique is one of the edges whose ends' labels are known and differ, so the changes are those of the graphs of such edges: a new label can
+    add and remove edges of them. new_edges counts edges that weren't there at all."""
+    labels = old_labels.select(F.col("id").alias("_id"), F.col("label").alias("a")).join(new_labels.select(F.col("id").alias("_id"), F.col("label").alias("b")), "_id", "full")
+    rows = _flagged(before, added, removed)
+    for end in ("src", "dst"):
+        rows = rows.join(labels.withColumnsRenamed({"a": f"a_{end}", "b": f"b_{end}"}), F.col(end) == F.col("_id")).drop("_id")
+    differ = lambda there, x: F.coalesce((F.col(there) == 1) & (F.col(f"{x}_src") != F.col(f"{x}_dst")), F.lit(False))
+    rows = pinned(rows.select("src", "dst", differ("old", "a").alias("was"), differ("now", "b").alias("is")).where("was or is"))
+    edges = lambda which: rows.where(which).select("src", "dst")
+    found = clique_changes(Graph(edges("is")), Graph(edges("was")), edges("is and not was"), edges("was and not is"), k)
+    if not added.count():
+        return found.withColumn("new_edges", F.lit(0))
+    found = pinned(found.select("vertices", "status", "edges"))
+    fresh = expand.with_masks(found.select("vertices"), k, new=added)
+    return found.join(fresh, "vertices").select("vertices", "status", "edges", F.when(F.col("status") == "add", F.col("new")).otherwise(0).alias("new_edges"))
 
 
 def cached_clique4_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -61,6 +61,7 @@ class GraphStream:
             raise ValueError("label_key is for color queries")
         if self.keep_triangles and (self.kind, self.k) != ("clique", 4):
             raise ValueError("triangles are kept for 4-cliques")
+        self._kept: tuple[int, Graph] | None = None
 
     def _table(self, name: str, schema: str) -> DataFrame:
         jvm = self.spark._jvm
@@ -82,12 +83,17 @@ class GraphStream:
         now = log.groupBy("src", "dst").agg(F.max_by("alive", "epoch").alias("alive"))
         return Graph(now.where("alive").select("src", "dst"))
 
+    def _pinned(self, epoch: int) -> Graph:
+        """snapshot(epoch), computed once; that of the last epoch asked for is kept for the next one."""
+        self._kept = epoch, Graph(pinned(self.snapshot(epoch).edges))
+        return self._kept[1]
+
     def preload(self, pairs: DataFrame) -> None:
         """The graph before the first batch, as epoch -1."""
         if self.query and self.query.init:
             self.query.init()
         self._put(Graph.from_pairs(pairs).edges, "base", -1)
-        g = self.snapshot(-1)
+        g = self._pinned(-1)
         self._put_totals(self._census(g), -1)
         if self.keep_triangles:
             self._put(mining.triangles(g).select(F.array("a", "b", "c").alias("vertices"), F.lit(True).alias("alive")), "triangles", -1)
@@ -124,8 +130,7 @@ class GraphStream:
             return rows
         if self.label_key:
             old, now = self.vertex_labels(epoch - 1), self.vertex_labels(epoch)
-            moved = self._table("labels", LABELS).where((F.col("epoch") == epoch) & F.col("dst").isNull() & (F.col("key") == self.label_key)).select(F.col("src").alias("id"))
-            return changes.labelled_clique_changes(*args, old, now, moved)
+            return changes.labelled_clique_changes(*args, old, now)
         rows = changes.clique_changes(*args)
         return rows if self.kind == "clique" else rows.where(F.size(F.array_distinct(F.transform("vertices", self._label()))) == self.k)
 
@@ -168,13 +173,13 @@ class GraphStream:
     def apply(self, updates: DataFrame, epoch: int) -> None:
         """One batch: its changes, the tables and the output."""
         began = time.perf_counter()
-        before = self.snapshot(epoch - 1)
+        before = self._kept[1] if self._kept and self._kept[0] == epoch - 1 else self._pinned(epoch - 1)
         self._put(self.netted(updates, before), "log", epoch)
         labels = updates.where(F.col("tpe").isin("VertexLabelMod", "EdgeLabelMod", "4", "5"))
         self._put(labels.select("src", "dst", "key", "value"), "labels", epoch)
         now = self._table("log", LOG).where(F.col("epoch") == epoch)
         added, removed = now.where("alive").select("src", "dst"), now.where("not alive").select("src", "dst")
-        after = self.snapshot(epoch)
+        after = self._pinned(epoch)
         if self.query and self.query.pupdate:
             self.query.pupdate(added, removed, epoch)
         rows = self._changes(after, before, added, removed, epoch)
