@@ -221,14 +221,21 @@ def cached_clique4_changes(after: Graph, before: Graph, added: DataFrame, remove
 
 
 def distances_near(g: Graph, vertices: DataFrame, hops: int, label: Callable[[Column], Column], keywords: int) -> DataFrame:
-    """(v, w, d) of vertices (v): the least number of hops, up to hops, to a vertex of g with keyword w. Only the edges around them are taken."""
-    sym, at = g.symmetric(), pinned(vertices.select("v", F.col("v").alias("u"), F.lit(0).alias("d")).distinct())
-    every = at
-    for h in range(1, hops + 1):
-        step = expand.near(sym, at.select(F.array("u").alias("vertices"))).select(F.col("v").alias("u"), F.col("u").alias("to"))
-        at = pinned(at.join(step, "u").select("v", F.col("to").alias("u"), F.lit(h).alias("d")).distinct().join(every.select("v", "u"), ["v", "u"], "left_anti"))
-        every = every.unionByName(at)
-    return every.withColumn("w", label(F.col("u")).cast("int")).where(F.col("w") < keywords).groupBy("v", "w").agg(F.min("d").alias("d"))
+    """(v, w, d) of vertices (v): the least number of hops, up to hops, to a vertex of g with keyword w. Only the edges around them are taken, and keywords
+    travel along these: a hop has at most a row for each vertex and keyword, however many vertices are near one another."""
+    asked = around = pinned(vertices.select("v").distinct())
+    for _ in range(hops - 1):
+        around = pinned(around.unionByName(expand.near(g.symmetric(), around.select(F.array("v").alias("vertices"))).select(F.col("u").alias("v"))).distinct())
+    own = asked.select("v", label(F.col("v")).cast("int").alias("w")).where(F.col("w") < keywords)
+    every = own.withColumn("d", F.lit(0))
+    if hops:
+        sym = pinned(expand.near(g.symmetric(), around.select(F.array("v").alias("vertices"))).select("v", "u"))
+        reached = sym.select("v", label(F.col("u")).cast("int").alias("w")).where(F.col("w") < keywords).distinct()
+        for h in range(1, hops + 1):
+            if h > 1:
+                reached = sym.join(reached.select(F.col("v").alias("u"), "w"), "u").select("v", "w").distinct()
+            every = every.unionByName(reached.withColumn("d", F.lit(h)))
+    return every.join(asked, "v", "left_semi").groupBy("v", "w").agg(F.min("d").alias("d"))
 
 
 def distance_changes(after: Graph, before: Graph, added: DataFrame, removed: DataFrame, hops: int, label: Callable[[Column], Column], keywords: int) -> DataFrame:
@@ -256,7 +263,11 @@ def keyword_changes(after: Graph, before: Graph, added: DataFrame, removed: Data
         held = F.filter(F.array(*vs), lambda v: ~plain(v))
         return (F.size(held) == keywords) & (F.size(F.array_distinct(F.transform(held, label))) == keywords)
 
-    changed = pinned(added.select("src", "dst", F.lit(True).alias("new")).unionByName(removed.select("src", "dst", F.lit(False).alias("new"))))
+    changed = added.select("src", "dst", F.lit(True).alias("new")).unionByName(removed.select("src", "dst", F.lit(False).alias("new")))
+    # a seed with more plain vertices than a set may have, or with one keyword twice, is in no set
+    ends = [F.col("src"), F.col("dst")]
+    n_plain = sum((plain(v).cast("int") for v in ends[1:]), plain(ends[0]).cast("int"))
+    changed = pinned(changed.where((n_plain <= k - keywords) & ((n_plain > 0) | (label(ends[0]) != label(ends[1])))))
     both = Graph(before.edges.select("src", "dst").unionByName(added.select("src", "dst")))
     ends = changed.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
     near = distances_near(both, ends, k - 2, label, keywords)
@@ -265,7 +276,7 @@ def keyword_changes(after: Graph, before: Graph, added: DataFrame, removed: Data
 
     out = None
     for size in range(max(2, keywords), k + 1):
-        one = pattern_changes(after, before, added, removed, PatternQuery(size, match=match), accept, changed)
+        one = pattern_changes(after, before, added, removed, PatternQuery(size, match=match), accept, changed.where(n_plain <= size - keywords))
         out = one if out is None else out.unionByName(one)
     return out
 
