@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import WORD, connected_components, partitions, pinned
+from motifloom.llm.common import WORD, connected_components, partitions, pinned, trim
 
 SEED = 42
 #: So many fingerprints meet so many others in one task at most.
@@ -276,6 +276,7 @@ def sketches(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                 odd.append(odd_sketch(h, width(len(h), similarity)).tobytes())
             n, w1, w2 = out.view(np.int64)
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n": n, "odd": odd, "w1": w1, "w2": w2})
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of, SKETCH)
 
@@ -401,9 +402,13 @@ def _verified(docs: DataFrame, classes: DataFrame, k: int, similarity: float, bl
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            words = [words_of(t) for t in x["text"].array]
-            w = np.array([digest(v) for v in words], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1], "shingles": [np.unique(shingle_hashes(v, k)).tobytes() for v in words]})
+            w, shingles = np.zeros((len(x), 2), np.uint64), []
+            for row, text in enumerate(x["text"].array):  # the words of one text at a time
+                words = words_of(text)
+                w[row] = digest(words)
+                shingles.append(np.unique(shingle_hashes(words, k)).tobytes())
+            yield pd.DataFrame({"w1": w[:, 0].view(np.int64), "w2": w[:, 1].view(np.int64), "shingles": shingles})
+        trim()
 
     held = picked.mapInPandas(sets, "w1 long, w2 long, shingles binary").groupBy("w1", "w2").agg(F.min("shingles").alias("shingles"))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import pinned
+from motifloom.llm.common import pinned, trim
 
 #: The classifier is fitted on so many confirmed and so many unlabelled documents at most.
 SAMPLE_POSITIVE = 4_000
@@ -49,7 +49,9 @@ class Model(NamedTuple):
 #: Counted as a feature of every document.
 ALL = ""
 #: Features that a task counts before it gives them away, but for those of one document more.
-HELD = 400_000
+HELD = 200_000
+#: Words whose features a task remembers, as 4 bytes for each feature.
+WORDS_HELD = 100_000
 
 
 def _sampled(keys: DataFrame, most: int, seed: int) -> DataFrame:
@@ -62,7 +64,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number: dict[str, int] = {ALL: 0}
-        known: dict[str, np.ndarray] = {}  # the numbers of a word's features
+        known: dict[str, bytes] = {}  # the numbers of a word's features
         has, last = np.zeros((2, 2 * HELD), np.int64), np.zeros(2 * HELD, np.int64)
 
         def flush() -> pd.DataFrame:
@@ -73,14 +75,14 @@ def _counted(rows: DataFrame) -> DataFrame:
             has[:] = 0
             return out
 
-        def numbers(word: str) -> np.ndarray:
-            got = known[word] = np.array([number.setdefault(f, len(number)) for f in features_of(word)])
+        def numbers(word: str) -> bytes:
+            got = known[word] = np.array([number.setdefault(f, len(number)) for f in features_of(word)], np.int32).tobytes()
             return got
 
         for b in batches:
             for text, confirmed in zip(b["text"].array, b["confirmed"].array, strict=True):
                 every = [known[w] if w in known else numbers(w) for w in words_of(text)]
-                ids = np.concatenate([np.zeros(1, np.int64), *every])
+                ids = np.frombuffer(b"".join([b"\0\0\0\0", *every]), np.int32)
                 if len(number) > len(last):  # a text of very many words
                     more = len(number) - len(last) + HELD
                     has, last = np.pad(has, ((0, 0), (0, more))), np.pad(last, (0, more))
@@ -93,23 +95,28 @@ def _counted(rows: DataFrame) -> DataFrame:
                     has[0, own] += 1
                 if len(number) > HELD:
                     yield flush()
+                elif len(known) > WORDS_HELD:
+                    known.clear()
         yield flush()
+        known.clear()
+        number.clear()
+        trim()
 
     return rows.select("text", "confirmed").mapInPandas(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
-def _vector(index: dict[str, int], known: dict[str, np.ndarray], text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def _vector(index: dict[str, int], known: dict[str, bytes], text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The features of a text that the index has, and their values; known keeps each word's features."""
     every = []
     for w in words_of(text):
         i = known.get(w)
         if i is None:
-            if len(known) > 500_000:
+            if len(known) > WORDS_HELD:
                 known.clear()
-            i = known[w] = np.array([index[f] for f in features_of(w) if f in index], np.int64)
-        if len(i):
+            i = known[w] = np.array([index[f] for f in features_of(w) if f in index], np.int32).tobytes()
+        if i:
             every.append(i)
-    n = np.bincount(np.concatenate(every)) if every else np.zeros(0, np.int64)
+    n = np.bincount(np.frombuffer(b"".join(every), np.int32)) if every else np.zeros(0, np.int64)
     i = np.flatnonzero(n)
     return i, (1 + np.log(n[i])).astype(np.float32)
 
@@ -179,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
     rows = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "h"])
 
     def vectorise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
         seen: set[tuple] = set()  # as many as the sample at most
         for b in batches:
             got = []
@@ -190,6 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
                     got.append((doc_id, h, positive, i.astype(np.int32), v))
             if got:  # an empty frame has no type for its lists
                 yield pd.DataFrame(got, columns=["doc_id", "h", "positive", "i", "v"])
+        known.clear()
+        trim()
 
     vectors = rows.mapInPandas(vectorise, "doc_id long, h long, positive boolean, i array<int>, v array<float>")
     sample = vectors.dropDuplicates(["doc_id", "h", "positive"]).toPandas().sort_values(["positive", "doc_id", "h"])
@@ -211,7 +220,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
         for b in batches:
             out = np.empty(len(b))
             for k, text in enumerate(b["text"].array):
@@ -219,5 +228,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 g = model.bias + float(model.weight[i] @ v)
                 out[k] = 1 / (1 + np.exp(-min(max(g, -30.0), 30.0)))
             yield b.assign(score=out)
+        known.clear()
+        trim()
 
     return docs.mapInPandas(of, docs.select("*", F.lit(0.0).alias("score")).schema)

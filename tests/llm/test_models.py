@@ -106,3 +106,19 @@ def test_toxicity_of_one_id_many_times(spark, docs, prose):
     assert seen == [(10, 40)]
     got = toxicity.scores(docs([(1, "x" * 1_000_000), (1, "x" * 1_000_000), (2, None)]), model).collect()
     assert len(got) == 3 and len({r["score"] for r in got}) == 1
+
+
+def test_toxicity_remembers_few_words():
+    """A task's memory of words is bounded, and each costs some bytes; what is forgotten is looked up again."""
+    from motifloom.llm import toxicity
+
+    words = ["".join(chr(97 + (i // 26**j) % 26) for j in range(5)) for i in range(150_000)]
+    index = {f: i for i, f in enumerate(["=aaaaa", "^aaa", "^bcd", "aaaa$"])}
+    known = {}
+    for at in range(0, len(words), 1000):
+        toxicity._vector(index, known, " ".join(words[at : at + 1000]))
+        assert len(known) <= 100_001
+    assert sum(map(len, known.values())) < 12 * len(known)
+    text = "aaaaa baaaa bcdef bcdxy"
+    again = toxicity._vector(index, known, text), toxicity._vector(index, {}, text)
+    assert [list(x) for x in again[0]] == [list(x) for x in again[1]] and list(again[0][0]) == [0, 1, 2, 3]
