@@ -222,7 +222,7 @@ def distinct_patterns(spark, sf_dir):
 
 
 def induced_by_edges(spark, sf_dir):
-    """motif4 where candidates are rows: the plan for graphs with hubs."""
+    """motif4 where sets meet neighbours in parts: the plan for graphs with hubs."""
     rows = expand.induced_counts(copurchase(spark, sf_dir), 4)
     return rows.groupBy(masks.degree_id(F.col("mask"), 4).alias("pattern_id")).agg(F.sum("n").alias("cnt"))
 
